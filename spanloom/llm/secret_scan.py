@@ -174,14 +174,15 @@ def _counts() -> dict[tuple[int, str], int]:
     return out
 
 
-def spans_sql(text: str, rid: str, table: str) -> str:
+def spans_sql(text: str, rid: str, source: str) -> str:
     """CTEs that end in secret_all(rid, s, k, e, kind) for the texts of a table."""
-    llr = ", ".join(str(_table(_counts())[a + b]) for a in ALPHABET for b in ALPHABET)
+    table = _table(_counts())
+    llr = ", ".join(str(table[a + b]) for a in ALPHABET for b in ALPHABET)
     parts = []
     for k, (kind, pattern, group, least) in enumerate([*KINDS, ("markov", TOKEN, 0, 20)]):
         quoted = pattern.replace("'", "''")
         parts.append(f"""SELECT {rid} AS rid, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all({text}, '{quoted}', 0) AS m,
-          regexp_extract_all({text}, '{quoted}', {group}) AS g, string_split_regex({text}, '{quoted}') AS gap FROM {table}""")
+          regexp_extract_all({text}, '{quoted}', {group}) AS g, string_split_regex({text}, '{quoted}') AS gap FROM {source}""")
     size = len(ALPHABET)
     return f"""secret_raw AS ({" UNION ALL ".join(parts)}),
 secret_at AS (
