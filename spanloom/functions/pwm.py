@@ -8,7 +8,7 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dna import NUCLEOTIDES, log_add, reverse_complement
+from .dna import NUCLEOTIDES, encode, log_add, reverse_complement
 
 Matrix = list[list[float]]  # rows a, c, g, t
 
@@ -41,16 +41,17 @@ def revcomp(matrix: Matrix) -> Matrix:
 def scores(sequence: Column, matrix: Matrix) -> Column:
     """The score at every start; letters other than acgt add nothing; empty if the sequence is too short."""
     width = len(matrix[0])
-    table = F.create_map(*[v for x, row in zip(NUCLEOTIDES, matrix, strict=True) for v in (F.lit(x), F.array(*[F.lit(float(y)) for y in row]))])
-    s = F.lower(sequence)
+    columns = [F.array(*[F.lit(float(row[j])) for row in matrix]) for j in range(width)]
+    codes = encode(sequence)
 
-    def at(i: Column) -> Column:
-        total = F.lit(0.0)
-        for j in range(width):
-            total = total + F.coalesce(F.get(F.try_element_at(table, F.substring(s, i + j + 1, F.lit(1))), F.lit(j)), F.lit(0.0))
-        return total
+    # the codes are bound once, as the only element of an array
+    def score_all(c: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(c) - width, F.lit(0)))
+        cell = lambda i, j: F.coalesce(F.get(columns[j], F.get(c, i + j)), F.lit(0.0))
+        total = lambda i: sum((cell(i, j) for j in range(1, width)), cell(i, 0))
+        return F.when(F.size(c) >= width, F.transform(starts, total)).otherwise(F.array().cast("array<double>"))
 
-    return F.when(F.length(s) >= width, F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - width, F.lit(0))), at)).otherwise(F.array().cast("array<double>"))
+    return F.element_at(F.transform(F.array(codes), score_all), 1)
 
 
 def max_score(values: Column) -> Column:

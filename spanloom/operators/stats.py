@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .tracks import bins_of
 
-_X = F.col
-
 
 def bin_statistic(name: str, n: str = "n", total: str = "sum", squares: str = "sum_sq", low: str = "min", high: str = "max") -> Column:
     """A bin's statistic from its moments; unknown names give an error."""
@@ -116,7 +114,7 @@ def cross_correlation(a: DataFrame, b: DataFrame, genome: DataFrame, bin_size: i
     if not lags:
         return genome.sparkSession.createDataFrame([], "lag long, value double")
     lag = genome.sparkSession.range(lags[0], lags[-1] + 1).withColumnRenamed("id", "lag")
-    every = F.explode(F.sequence(F.lit(lags[0]), F.lit(lags[-1]))).cast("long")
+    every = F.explode(F.sequence(F.lit(lags[0]).cast("long"), F.lit(lags[-1]).cast("long")))
     moved = a.select("seqname", F.col("bin").alias("at"), "value", every.alias("lag")).withColumn("bin", F.col("at") + F.col("lag"))
     ab = moved.join(b.select("seqname", "bin", F.col("value").alias("v")), ["seqname", "bin"]).groupBy("lag").agg(F.sum(F.col("value") * F.col("v")).alias("ab"))
     # bins i of a with i + lag inside, bins j of b with j - lag inside, and their number
