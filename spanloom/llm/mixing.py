@@ -148,8 +148,8 @@ def mix(docs: DataFrame, weights: list[int] = WEIGHTS, cap: int = CAP, blocks: i
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("turn", _unit(F.col("block"), F.col("source"), F.lit(seed)))
         .withColumn("before", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-        .withColumn("drawn", F.col("before") + F.col("words") <= F.col("rest"))
-        .withColumn("border", ~F.col("drawn") & (F.col("before") < F.col("rest")))
+        .withColumn("drawn", (F.col("words") > 0) & (F.col("before") + F.col("words") <= F.col("rest")))
+        .withColumn("border", (F.col("words") > 0) & ~F.col("drawn") & (F.col("before") < F.col("rest")))
         .withColumn("units", F.col("whole") + F.when(F.col("drawn") | F.col("border"), 1).otherwise(0))
         .withColumn("unit_from", F.sum("units").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("units"))
     )
