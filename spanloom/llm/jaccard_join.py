@@ -293,8 +293,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     chosen = found.where("component_id = doc_id and n_shingles > 0").groupBy("component_id").agg(F.min("k").alias("k")).select("k")
     keyed = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     row = F.row_number().over(Window.partitionBy("_k").orderBy("doc_id"))
-    kept = keyed.join(alone.unionByName(chosen).distinct(), F.col("_k") == F.col("k"), "left_semi")
-    return kept.withColumn("_row", row).where("_row = 1").drop("_k", "_row")
+    kept = keyed.join(alone.unionByName(chosen).distinct().select(F.col("k").alias("_k")), "_k", "left_semi")
+    return kept.withColumn("_row", row).where("_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ KINDS = [
     ("hex", "[0-9a-f]+", 0, 16),
 ]
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
-FLOOR = 400  # thousandths of a nat for each character
+FLOOR = 0  # thousandths of a nat for each character; 0: random is the likelier
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLES = 600
@@ -106,7 +106,7 @@ def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
 
 
 def find_spans(docs: DataFrame, model: dict[str, int], floor: int = FLOOR, text_col: str = "text") -> DataFrame:
-    """docs with ``base`` and ``found``: arrays of struct(s, k, e, kind), in the order of start and kind."""
+    """docs with ``_base`` and ``_found``: arrays of struct(s, k, e, kind), in the order of start and kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<s:int,e:int>>")
     gates = ["assign", "access", "hex", "markov"]
@@ -127,7 +127,7 @@ def find_spans(docs: DataFrame, model: dict[str, int], floor: int = FLOOR, text_
 
     staged = staged.withColumn("_markov", F.filter("_markov", random_like))
     tagged = [_tag(F.col(f"_{g}"), i, g) for i, g in enumerate(gates)]
-    staged = staged.withColumn("base", F.array_sort(F.concat(*tagged[:3]))).withColumn("found", F.array_sort(F.concat("base", tagged[3])))
+    staged = staged.withColumn("_base", F.array_sort(F.concat(*tagged[:3]))).withColumn("_found", F.array_sort(F.concat("_base", tagged[3])))
     return staged.drop("_markov", "_model", *[f"_{g}" for g in gates])
 
 
@@ -142,9 +142,9 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, samples: DataFrame | None = None, floor: int = FLOOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     model = train(docs.sparkSession, samples)
-    found = find_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, floor).select("doc_id", "base", "found")
-    n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
-    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+    found = find_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, floor).select("doc_id", "_base", "_found")
+    n = lambda kind: F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("_found")).alias("spans"))
 
 
 def redact(docs: DataFrame, samples: DataFrame | None = None, mark: str = "[SECRET]", floor: int = FLOOR, text_col: str = "text") -> DataFrame:
@@ -158,8 +158,8 @@ def redact(docs: DataFrame, samples: DataFrame | None = None, mark: str = "[SECR
         fresh = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mark))
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
 
-    cleaned = F.aggregate("found", start, cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("found") > 0, cleaned).otherwise(text)).drop("base", "found")
+    cleaned = F.aggregate("_found", start, cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size("_found") > 0, cleaned).otherwise(text)).drop("_base", "_found")
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
