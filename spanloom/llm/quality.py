@@ -167,12 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     return fit(x, np.array([r[1] for r in order], dtype=float))
 
 
-def _score(model: Model, names: list[str], text_at: int):
+def _score(model: Model, names: list[str | None], text_at: int, out: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_at, 8 << 20):
                 x = np.array([statistics(t) for t in utf8(batch.column(text_at))]).reshape(-1, N_FEATURES)
-                yield pa.record_batch([*[c for j, c in enumerate(batch.columns) if names[j] is not None], pa.array(model.scores(x))], names=[*[n for n in names if n is not None], "score"])
+                yield pa.record_batch([*[c for j, c in enumerate(batch.columns) if names[j] is not None], pa.array(model.scores(x))], names=[*[n for n in names if n is not None], out])
 
     return run
 
@@ -189,8 +189,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_r
     """The documents the classifier does not reject, with all their columns."""
     model = train(docs, labels, most_rows)
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    scored = docs.mapInArrow(_score(model, docs.columns, docs.columns.index("text")), f"{schema}, `score` double")
-    return scored.where(F.col("score") >= threshold).drop("score")
+    scored = docs.mapInArrow(_score(model, docs.columns, docs.columns.index("text"), "_quality"), f"{schema}, `_quality` double")
+    return scored.where(F.col("_quality") >= threshold).drop("_quality")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
