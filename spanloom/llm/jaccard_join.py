@@ -6,19 +6,24 @@ hash into segments, by size band: with m0 segments compared exactly and m1 withi
 one deletion, m0 + 2*m1 > H, two such sets agree on some exact segment, or differ
 by one shingle at most on some other. A set's signatures are therefore its exact
 segments' hashes, and for the others the segment's hash and those with one shingle
-left out. How many segments are of which kind is chosen for each band by cost:
-signatures written, and the expected number of strangers that meet by chance on
-nearly empty segments, which grows with the number of documents. Sets index under
-their own band, and probe the next one if it can hold partners.
+left out. Of exact segments there may be more than needed; a set then writes only
+those of at least L shingles, L being the largest for which enough are left. Nothing
+is lost: of two linked sets the one with the larger L has an agreeing segment of at
+least L shingles, and the other writes it too. So empty segments, on which strangers
+meet, are hardly ever written. How many segments are of which kind is chosen for each
+band by cost: signatures written, and the expected number of strangers that meet by
+chance, which grows with the number of documents. Sets index under their own band,
+and probe the next one if it can hold partners.
 
 1. Documents become set fingerprints and signatures; equal sets are one node, so
-   copies never meet in pairs.
+   copies never meet in pairs, and a task writes a node's signatures once.
 2. A signature's nodes are each tied to its smallest node only (a star, streamed in
    sorted order): candidate groups are the components of these ties. Every link
    shares a signature, so no link leaves its group.
 3. One text of every node of a group is cut into shingles again, and all pairs within
-   a group are verified by exact intersection sizes, in blocks of at most ``block``
-   sets a side. A task returns a spanning forest of the links it finds, never pairs.
+   a group are verified by exact intersection sizes, in blocks of about ``block``
+   sets a side. In groups above one block, only blocks of the same or neighbouring
+   classes of size meet, as sets of other sizes cannot be linked. A task returns a spanning forest of the links it finds, never pairs.
 4. Components of the verified links give the classes.
 
 Nodes are 64-bit fingerprints of sets of 64-bit shingle hashes.
@@ -48,10 +53,16 @@ from .textops import SQL_LOWER, mix64, slices, space_words, utf8
 SHINGLE = 3
 PERCENT = 90
 BAND = 1.25
-BLOCK = 512
+BLOCK = 1024
+#: About how many shingles a block may hold.
+MOST_SHINGLES = 4_000_000
 #: Chance partners weigh as much as this many signatures.
 CHANCE_WEIGHT = 100.0
-#: Different words whose hashes a task remembers.
+#: How likely strangers are taken to share a shingle, for the costs alone.
+SHARED = 1e-4
+#: Allocations tried for a band: numbers of one-deletion segments, and spare exact segments by share.
+STEPS, SPARE = 24, (0.05, 0.1, 0.2, 0.4)
+#: Different words, and sets, that a task remembers.
 MEMORY = 500_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,22 +89,31 @@ def shingle_set(text: bytes, hashes: _Hashes, n: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def _difference(percent: int, upper: int) -> int:
+    """In how many shingles two linked sets of at most ``upper`` can differ."""
+    return (100 - percent) * 2 * upper // (100 + percent)
+
+
 def plan_bands(percent: int, documents: int, largest: int):
     """For each band: (largest size, exact segments, one-deletion segments)."""
-    t = percent / 100
     bands, upper = [], 1
     while True:
-        h = (100 - percent) * 2 * upper // (100 + percent)
+        h = _difference(percent, upper)
         best = None
-        for m1 in range(0, (h + 1) // 2 + 1 + ((h + 1) % 2)):
-            m0 = max(0, h + 1 - 2 * m1)
-            if m0 + m1 == 0:
-                continue
-            mean = upper / (m0 + m1) / BAND
-            chance = documents * (m0 * math.exp(-2 * mean) + m1 * ((1 + mean) * math.exp(-mean)) ** 2) if m0 + m1 > 1 else 0.0
-            cost = m0 + m1 * (1 + upper / (m0 + m1)) + CHANCE_WEIGHT * chance
-            if best is None or cost < best[0]:
-                best = (cost, m0, m1)
+        for m1 in sorted({round((h + 2) // 2 * i / STEPS) for i in range(STEPS + 1)}):
+            need = max(0, h + 1 - 2 * m1)
+            for spare in sorted({0, 1, 2, *(math.ceil(need * x) for x in SPARE)}) if need else [0]:
+                m0 = need + spare
+                m = m0 + m1
+                mean = upper / m / BAND
+                chance = 0.0
+                if m > 1:
+                    bare = m0 * math.exp(-mean)  # empty exact segments of a set
+                    short = 0.5 * math.erfc((spare + 0.5 - bare) / math.sqrt(2 * bare)) if need and bare > 0 else 0.0
+                    chance = documents * (short**2 + SHARED * m0 * (mean * math.exp(-mean)) ** 2 + m1 * ((1 + mean) * math.exp(-mean)) ** 2)
+                cost = need + m1 * (1 + upper / m) + CHANCE_WEIGHT * chance
+                if best is None or cost < best[0]:
+                    best = (cost, m0, m1)
         bands.append((upper, best[1], best[2]))
         if upper >= largest:
             return bands
@@ -108,7 +128,7 @@ def signatures(s: np.ndarray, bands, percent: int) -> np.ndarray:
     for b in (own, own + 1):
         if b >= len(bands) or (b > own and len(s) * 100 < percent * (uppers[own] + 1)):
             continue
-        _, m0, m1 = bands[b]
+        upper, m0, m1 = bands[b]
         m = m0 + m1
         part = (mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
         part = part.astype(np.int64)
@@ -116,7 +136,12 @@ def signatures(s: np.ndarray, bands, percent: int) -> np.ndarray:
         total = np.zeros(m, np.uint64)
         np.add.at(total, part, token)
         tag = (np.uint64(b) << np.uint64(32)) + np.arange(m, dtype=np.uint64)
-        out.append(mix64(total * _GOLD + mix64(tag)))
+        whole = mix64(total * _GOLD + mix64(tag))
+        need = max(0, _difference(percent, upper) + 1 - 2 * m1)
+        if need:
+            size = np.bincount(part, minlength=m)[:m0]
+            out.append(whole[:m0][size >= np.partition(size, m0 - need)[m0 - need]])
+        out.append(whole[m0:])
         if m1:
             deletable = part >= m0
             p = part[deletable]
@@ -134,13 +159,22 @@ _ROWS = "doc_id long, k long, n_shingles long, node long, signatures array<long>
 def _extract(bands, percent: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        written: set[int] = set()
+        none = np.empty(0, np.int64)
         for whole in batches:
             for batch in slices(whole, 2, 4 << 20):
                 sets = [shingle_set(t, hashes, n) for t in utf8(batch.column(2))]
-                sigs = [signatures(s, bands, percent).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
+                nodes = [fingerprint(s) for s in sets]
+                sigs = []
+                for s, node in zip(sets, nodes, strict=True):
+                    fresh = len(s) and node not in written
+                    sigs.append(signatures(s, bands, percent).view(np.int64) if fresh else none)
+                    if len(written) > MEMORY:
+                        written.clear()
+                    written.add(node)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)) if sigs else pa.array([], pa.int64()))
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), lists], names=["doc_id", "k", "n_shingles", "node", "signatures"])
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "k", "n_shingles", "node", "signatures"])
 
     return run
 
@@ -266,15 +300,24 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
 
     ties = marked.select(F.explode("signatures").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "a long, b long")
     groups = components(ties)
-    # number the nodes of a group into blocks, and let every pair of blocks meet once
-    sized = groups.groupBy("root").agg(F.count("*").alias("g"))
-    blocks = F.ceil(F.col("g") / block).cast("int")
-    placed = groups.join(sized, "root").select("node", "root", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), blocks.alias("nb"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("own", j).alias("bi"), F.greatest("own", j).alias("bj")))
-    first = marked.where("n_shingles > 0").groupBy("node").agg(F.min("k").alias("k"))
-    wanted = first.join(placed.withColumn("pairs", pairs), "node").select("k", "node", "root", "own", "pairs")
+    # deal the nodes of a group into blocks, and let every pair of blocks that can hold links meet once
+    first = marked.where("n_shingles > 0").groupBy("node").agg(F.min("k").alias("k"), F.max("n_shingles").alias("n"))
+    members = stage(groups.join(first, "node"), "members")
+    sized = members.groupBy("root").agg(F.count("*").alias("g"))
+    # linked sets differ by one class of size at most; a group of one block needs no classes
+    own_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.001 * 100 / percent))
+    classed = members.join(sized, "root").withColumn("c", F.when(F.col("g") > block, own_class).otherwise(F.lit(0)).cast("long")).drop("g")
+    cells = classed.groupBy("root", "c").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / MOST_SHINGLES)).cast("long").alias("nb"))
+    by_class = Window.partitionBy("root").orderBy("c")  # some dozens of classes
+    beside = lambda f, step: F.when(f("c").over(by_class) == F.col("c") + step, f("nb").over(by_class)).otherwise(F.lit(0))
+    cells = cells.withColumns({"up": beside(F.lead, 1), "down": beside(F.lag, -1)})
+    number = lambda c, i: F.shiftleft(c, 32) + i
+    run = lambda c, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda i: number(c, i))).otherwise(F.array().cast("array<bigint>"))
+    meets = F.concat(run(F.col("c"), F.col("nb")), run(F.col("c") + 1, F.col("up")), run(F.col("c") - 1, F.col("down")))
+    pairs = F.transform(meets, lambda j: F.struct(F.least("own", j).alias("bi"), F.greatest("own", j).alias("bj")))
+    wanted = classed.join(cells, ["root", "c"]).withColumn("own", number(F.col("c"), F.pmod(F.xxhash64("node"), F.col("nb")))).select("k", "node", "root", "own", pairs.alias("pairs"))
     texts = rows.select("k", "text").join(wanted, "k").select("root", "node", "own", "pairs", "text")
-    cut = texts.mapInArrow(_sets(shingle), "root long, node long, own int, pairs array<struct<bi:int,bj:int>>, body binary")
+    cut = texts.mapInArrow(_sets(shingle), "root long, node long, own long, pairs array<struct<bi:bigint,bj:bigint>>, body binary")
     dealt = cut.select("root", F.explode("pairs").alias("p"), "node", "own", "body").select("root", "p.bi", "p.bj", "node", "own", "body")
     links = dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "node").mapInArrow(_verify(percent), "a long, b long")
     classes = components(links)
