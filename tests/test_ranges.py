@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import intervals, joins, reads
 from spanloom.operators.ranges import append, make_ranges, random_ranges, set_lengths, sort, subset
+from spanloom.plans import queries, tables
 
 
 def rows(spark, *r):
@@ -35,6 +36,18 @@ def test_nested_and_nearest(spark):
     assert got == [(0, 0, 0), (0, 0, 2), (0, 0, 3), (0, 300, 1), (1, 0, 0), (1, 150, 2), (1, 250, 3)]
 
 
+def test_nearest_asks_all_orders(spark):
+    d = "/root/testdata/sf0.001"
+    ranges = lambda df: [(r["row_id"], r["seqname"], r["from"], r["to"]) for r in df.collect()]
+    subjects = ranges(tables.subjects(spark, d))
+    want = []
+    for q, c, f, t in ranges(tables.queries(spark, d)):
+        gaps = sorted((abs(g), -g, s) for s, sc, sf, st in subjects if sc == c for g in [0 if sf <= t and st >= f else f - st if st < f else t - sf])
+        touching = sum(g == 0 for g, _, _ in gaps)
+        want += [(q, s, -g) for _, g, s in gaps[: touching + 3]]
+    assert sorted(tuple(r) for r in queries.QUERIES["nearest"](spark, d).select("q_id", "s_id", "distance").collect()) == sorted(want)
+
+
 def test_merge(spark):
     r = rows(spark, ("chr1", 6, 21), ("chr1", 10, 31), ("chr1", 24, 81), ("chr2", 6, 21), ("chr2", 10, 31), ("chr3", 0, 5), ("chr3", 5, 9), ("chr3", 2, 2))
     got = sorted((x["seqname"], x["from"], x["to"]) for x in intervals.merge(r).collect())
