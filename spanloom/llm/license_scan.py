@@ -1,7 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of the text; its set is its distinct words. A template is found
-in a block that holds at least ``threshold`` of the template's distinct words.
+A block is a line of the text, or what stands around a line break: as many words
+before it and after it, over further breaks, as the longest template has, less one,
+so a notice wrapped over lines lies in one block whole. A block's set is its distinct
+words. A template is found in a block that holds at least ``threshold`` of the
+template's distinct words.
 Words are ordered globally by rising document frequency, counted over all
 documents. In that order:
 
@@ -106,10 +109,16 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     table = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(r) for r in ranks]).alias("ranks"), F.lit(need).alias("need")) for ranks, label, need in ranked])
     index_map = F.create_map(*[x for r, ts in sorted(index.items()) for x in (F.lit(r), F.array(*[F.lit(t) for t in ts]))])
 
-    block_words = lambda line: F.array_intersect(F.regexp_extract_all(line, F.lit(WORD_RE), F.lit(0)), _array(order))
-    ranks_of = lambda line: F.array_sort(F.transform(block_words(line), lambda w: rank_map[w]))
+    ranks_of = lambda words: F.array_sort(F.transform(F.array_intersect(words, _array(order)), lambda w: rank_map[w]))
     least = min((need for _, _, need in ranked), default=1)
-    blocks = F.filter(F.transform(F.split("low", "\n"), ranks_of), lambda b: F.size(b) >= least)
+    lines = F.transform(F.split("low", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD_RE), F.lit(0)))
+    # a break's place among words and breaks, less the breaks before it, is the number of words before it
+    tokens = F.regexp_extract_all("low", F.lit(WORD_RE + r"|\n"), F.lit(0))
+    places = F.filter(F.transform(tokens, lambda x, i: F.when(x == "\n", i)), lambda i: i.isNotNull())
+    before = F.array_distinct(F.transform(places, lambda i, k: i - k))
+    reach = max((len(t.split()) for t, _ in templates), default=1) - 1
+    around = F.transform(before, lambda p: F.slice("words", F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach)) + reach))
+    blocks = F.array_distinct(F.filter(F.transform(F.concat(lines, around), ranks_of), lambda b: F.size(b) >= least))
 
     def candidates(b: Column) -> Column:
         """Templates with a prefix word in the block."""

@@ -109,6 +109,21 @@ def test_license(docs):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_license_wrapped_over_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    gpl = "You can redistribute it and/or modify\n# it under the terms of the GNU\n# General Public License"
+    cc = "x\n\nThis work is licensed under a Creative Commons\nAttribution 4.0 International License"
+    every = ["\n".join(t.split()) for t, _ in license_scan.TEMPLATES]  # a word a line
+    far = bsd.replace("\n", "\n" + "word " * 20 + "\n")
+    texts = [bsd, gpl, cc, *every, far, "\n", "\n\n" + bsd + "\n", "a\nb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.labels.split(",") for r in license_scan.scan(docs).orderBy("doc_id").collect()]
+    assert got[:2] == [["bsd"], ["gpl"]] and "cc-by" in got[2]
+    assert all(label in labels for (_, label), labels in zip(license_scan.TEMPLATES, got[3:], strict=False))
+    assert got[3 + len(every) :] == [[""], [""], ["bsd"], [""]]
+    assert {r.score for r in license_scan.scan(docs.where("doc_id in (0, 1, 2)")).collect()} == {1.0}
+
+
 def test_mixing(docs):
     from pyspark.sql import functions as F
 
