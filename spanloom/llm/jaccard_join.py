@@ -291,8 +291,8 @@ def _sets(n: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, and k (a hash of id and text, for joining decisions back)."""
+def _classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Documents with their nodes, and per node with words the smallest doc_id and the class root (a node)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
     total, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
     bands = plan_bands(percent, total, longest // 2 + 1)
@@ -323,6 +323,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     classes = components(links)
 
     ids = marked.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return marked, ids
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, and k (a hash of id and text, for joining decisions back)."""
+    marked, ids = _classes(docs, **options)
     lowest = ids.groupBy("root").agg(F.min("low").alias("component_id"))
     named = ids.join(lowest, "root").select("node", "component_id")
     with_words = marked.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id", "k")
@@ -330,14 +336,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the one at component_id (of rows equal in id, the first by text hash)."""
-    found = jaccard_components(docs, **options)
-    alone = found.where("component_id is null or n_shingles = 0").select("k")
-    chosen = found.where("component_id = doc_id and n_shingles > 0").groupBy("component_id").agg(F.min("k").alias("k")).select("k")
+    """One document of each group: the one of the smallest id, nulls last (of rows equal in id, the first by text hash), and all without words."""
+    marked, ids = _classes(docs, **options)
+    # a group is known by its root: ids may be null, or shared by documents of other groups
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")
+    chosen = marked.where("n_shingles > 0").select("doc_id", "k", "node").join(ids.select("node", "root"), "node").groupBy("root").agg(first)
+    alone = marked.where("n_shingles = 0").select("k").distinct()
+    wanted = alone.select(F.col("k").alias("_k"), F.lit(True).alias("_alone")).unionByName(chosen.select(F.col("first.k").alias("_k"), F.lit(False).alias("_alone")))
     keyed = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     row = F.row_number().over(Window.partitionBy("_k").orderBy("doc_id"))
-    kept = keyed.join(alone.unionByName(chosen).distinct().select(F.col("k").alias("_k")), "_k", "left_semi")
-    return kept.withColumn("_row", row).where("_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(wanted, "_k").withColumn("_row", row).where("_alone or _row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -131,3 +131,13 @@ def test_decontamination_keeps_clean_rows_of_the_same_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in p.decontamination_stage(spark, docs, SF).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, [rows[1], *rows[3:]]))
+
+
+def test_dedup_knows_groups_with_shared_or_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a + " end"), (1, b), (3, b + " end"), (1, "zq zr zs"), (None, c), (None, c + " end"), (None, d), (5, d + " end"), (1, ""), (1, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in p.dedup_stage(spark, docs, SF).collect()]
+    null = [r for r in got if r[0] is None and r[1]]
+    assert len(null) == 1 and null[0] in rows[5:7]
+    assert sorted(map(repr, [r for r in got if r not in null])) == sorted(map(repr, [rows[0], rows[2], rows[4], rows[8], *rows[9:]]))
