@@ -23,7 +23,8 @@ and probe the next one if it can hold partners.
 3. One text of every node of a group is cut into shingles again, and all pairs within
    a group are verified by exact intersection sizes, in blocks of about ``block``
    sets a side. In groups above one block, only blocks of the same or neighbouring
-   classes of size meet, as sets of other sizes cannot be linked. A task returns a spanning forest of the links it finds, never pairs.
+   classes of size meet, as sets of other sizes cannot be linked. For the classes a task returns a
+   spanning forest of the links it finds; ``jaccard_links`` returns them all.
 4. Components of the verified links give the classes.
 
 Nodes are 64-bit fingerprints of sets of 64-bit shingle hashes.
@@ -195,8 +196,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; only between the sides if ``left`` has both."""
+def _links(sets: list[np.ndarray], left: np.ndarray, percent: int, every: bool = False) -> list[tuple[int, int, int]]:
+    """A spanning forest of the links among sets, or every link, with the shingles shared; only between the sides if ``left`` has both."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     parent = list(range(n))
@@ -209,21 +210,22 @@ def _links(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple
 
     edges = []
 
-    def join(i: int, j: int) -> None:
+    def join(i: int, j: int, shared: int) -> None:
         a, b = root(i), root(j)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            edges.append((i, j))
+        if a != b or every:
+            edges.append((i, j, shared))
 
     cross = left.any() and not left.all()
     if n <= 6:
         for i in range(n):
             for j in range(i + 1, n):
-                if (cross and left[i] == left[j]) or root(i) == root(j) or 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
+                if (cross and left[i] == left[j]) or (not every and root(i) == root(j)) or 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
                     continue
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
-                    join(i, j)
+                    join(i, j, shared)
         return edges
     # intersection sizes by counting: an inverted index over the shingles that at least two sets hold
     flat = np.concatenate(sets)
@@ -250,11 +252,11 @@ def _links(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple
     if cross:
         linked &= left[:, None] != left[None, :]
     for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        join(int(i), int(j))
+        join(int(i), int(j), int(shared[i, j]))
     return edges
 
 
-def _verify(percent: int):
+def _verify(percent: int, every: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -262,9 +264,14 @@ def _verify(percent: int):
             key = held[0][0]
             sets = [np.frombuffer(x[3], np.uint64) for x in held]
             left = np.array([x[2] == key[1] for x in held])
-            edges = _links(sets, left if key[1] != key[2] else np.ones(len(held), bool), percent)
+            edges = _links(sets, left if key[1] != key[2] else np.ones(len(held), bool), percent, every)
             nodes = [x[1] for x in held]
-            return pa.record_batch([pa.array([nodes[i] for i, _ in edges], pa.int64()), pa.array([nodes[j] for _, j in edges], pa.int64())], names=["a", "b"])
+            columns = [[nodes[i] for i, _, _ in edges], [nodes[j] for _, j, _ in edges]]
+            names = ["a", "b"]
+            if every:
+                columns += [[c for _, _, c in edges], [len(sets[i]) + len(sets[j]) - c for i, j, c in edges]]
+                names += ["shared", "either"]
+            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for batch in batches:
             for root, bi, bj, node, own, body in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
@@ -291,8 +298,8 @@ def _sets(n: int):
     return run
 
 
-def _classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents with their nodes, and per node with words the smallest doc_id and the class root (a node)."""
+def _candidates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Documents with their nodes, and the nodes' sets in the pairs of blocks that are to be verified; every pair meets once."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
     total, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
     bands = plan_bands(percent, total, longest // 2 + 1)
@@ -319,9 +326,13 @@ def _classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bl
     texts = rows.select("k", "text").join(wanted, "k").select("root", "node", "own", "pairs", "text")
     cut = texts.mapInArrow(_sets(shingle), "root long, node long, own long, pairs array<struct<bi:bigint,bj:bigint>>, body binary")
     dealt = cut.select("root", F.explode("pairs").alias("p"), "node", "own", "body").select("root", "p.bi", "p.bj", "node", "own", "body")
-    links = dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "node").mapInArrow(_verify(percent), "a long, b long")
-    classes = components(links)
+    return marked, dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "node")
+
 
+def _classes(docs: DataFrame, percent: int = PERCENT, **options) -> tuple[DataFrame, DataFrame]:
+    """Documents with their nodes, and per node with words the smallest doc_id and the class root (a node)."""
+    marked, met = _candidates(docs, percent, **options)
+    classes = components(met.mapInArrow(_verify(percent), "a long, b long"))
     ids = marked.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return marked, ids
 
@@ -335,6 +346,24 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     return with_words.unionByName(marked.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "k"))
 
 
+def jaccard_links(docs: DataFrame, percent: int = PERCENT, **options) -> tuple[DataFrame, DataFrame]:
+    """The links themselves: (pairs of linked nodes: a, b, similarity; documents: doc_id, k, n_shingles, node, n_links).
+
+    A node stands for all documents of one set of shingles, so copies make no pairs.
+    n_links counts the other documents that a document is linked with: those of its
+    own node and of the nodes linked with it. Documents without words have no node.
+    """
+    marked, met = _candidates(docs, percent, **options)
+    found = met.mapInArrow(_verify(percent, True), "a long, b long, shared long, either long")
+    pairs = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("shared") / F.col("either")).alias("similarity")), "pairs")
+    held = marked.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("held"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = both.join(held.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("held").alias("beside"))
+    counted = held.join(beside, "node", "left").select("node", (F.col("held") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    rows = marked.select("doc_id", "k", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    return pairs, rows.join(counted, "node", "left").select("doc_id", "k", "n_shingles", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group: the one of the smallest id, nulls last (of rows equal in id, the first by text hash), and all without words."""
     marked, ids = _classes(docs, **options)

@@ -201,6 +201,30 @@ def test_jaccard_blocks_and_deletions(spark):
             assert set(jaccard_join.signatures(s, bands, 90)) & set(jaccard_join.signatures(t, bands, 90))
 
 
+@pytest.mark.parametrize("n", [5, 40])
+def test_jaccard_links_are_all_pairs(spark, n):
+    rng = np.random.default_rng(4)
+    texts = [""]
+    for i in range(n):
+        words = [f"t{j}" for j in range(60)]
+        for j in [0] if n < 6 else rng.choice([0, 1, 58, 59], int(rng.integers(0, 3)), replace=False):
+            words[j] = f"x{i}-{j}"
+        texts.append(" ".join(words))
+    texts += texts[:3]
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(58)} if t else set() for t in texts]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 90 * len(a | b)
+    links = [sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = list({frozenset(s) for s in sets if s})
+    want = sorted(len(a & b) / len(a | b) for i, a in enumerate(kinds) for b in kinds[:i] if linked(a, b))
+    for block in (4, 512):
+        pairs, rows = jaccard_join.jaccard_links(d, block=block)
+        got = pairs.collect()
+        assert len({(r.a, r.b) for r in got}) == len(got) == len(want) >= len(kinds)
+        assert np.allclose(sorted(r.similarity for r in got), want)
+        assert [r.n_links for r in rows.orderBy("doc_id").collect()] == links
+
+
 CONV = [(1, 0, "user", "a\\b</turn><turn x>\n"), (1, 1, "assistant", "é\\</turn>"), (1, 1, "assistant", None), (2, None, None, "x"), (None, 3, "a\nb>", ""), (2, 5, "assistant", "ok")]
 
 
