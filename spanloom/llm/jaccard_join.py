@@ -13,27 +13,31 @@ least L shingles, and the other writes it too. So empty segments, on which stran
 meet, are hardly ever written. How many segments are of which kind is chosen for each
 band by cost: signatures written, and the expected number of strangers that meet by
 chance, which grows with the number of documents. Sets index under their own band,
-and probe the next one if it can hold partners.
-
-1. Documents become set fingerprints and signatures; equal sets are one node, so
-   copies never meet in pairs, and a task writes a node's signatures once.
-2. A signature's nodes are each tied to its smallest node only (a star, streamed in
-   sorted order): candidate groups are the components of these ties. Every link
-   shares a signature, so no link leaves its group.
-3. One text of every node of a group is cut into shingles again, and all pairs within
-   a group are verified by exact intersection sizes, in blocks of about ``block``
-   sets a side. In groups above one block, only blocks of the same or neighbouring
-   classes of size meet, as sets of other sizes cannot be linked. For the classes a task returns a
-   spanning forest of the links it finds; ``jaccard_links`` returns them all.
-4. Components of the verified links give the classes.
-
-Nodes are 64-bit fingerprints of sets of 64-bit shingle hashes.
+and probe every further band that can hold partners.
+
+1. Documents become set fingerprints (equal sets are one node, so copies never meet
+   in pairs) and signatures, packed and dealt by signature: a task groups the
+   signatures of its range. Signatures that many nodes of one batch share are
+   combined before they are dealt.
+2. Within a signature every node is a candidate partner of the smallest one.
+   Candidates are thinned by parity sketches: bit j of a node's sketch is the parity
+   of its shingles with hash j, so the bits in which two sketches differ are at most
+   the shingles in which the sets differ. No linked pair is lost, strangers are.
+3. Of the candidates left, each node is verified with one of them, by the exact
+   intersection of both texts' shingles. A text is sent once, to its partner.
+4. Candidates whose nodes the verified links do not connect yet are taken up again:
+   the others of step 2, and all pairs of a signature that lie in different
+   components, compared by sketch in blocks - never pairs within a component. They
+   are verified alike, and the components of all verified links are the classes.
+
+Nodes are 64-bit fingerprints of sets of 64-bit shingle hashes; rows are known by
+128 bits of id and text.
 
 Defined cases: null texts and texts without words have empty sets and are linked
 with nothing, not even each other; fewer words than a shingle make one shingle of
 the whole sequence; documents with equal sets are linked; ids may be repeated or
 null (component_id ignores nulls, and is null where all are); an empty table gives
-no rows; other columns are ignored.
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,19 +48,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import stage
-from .textops import SQL_LOWER, mix64, slices, space_words, utf8
+from .staging import release, stage
+from .textops import SQL_LOWER, fresh, mix64, slices, space_words, utf8
 
 SHINGLE = 3
 PERCENT = 90
 BAND = 1.25
+#: Nodes of a signature that are compared with as many others in one task.
 BLOCK = 1024
-#: About how many shingles a block may hold.
-MOST_SHINGLES = 4_000_000
+#: Texts that one task's signatures come from, in bytes.
+PART_BYTES = 16 << 20
+#: Texts whose signatures are packed together, in bytes.
+BATCH_BYTES = 24 << 20
+#: Nodes of a batch that share a signature, from which on they are combined.
+HOT = 16
+#: Partners that meet at one place.
+PLACE = 512
 #: Chance partners weigh as much as this many signatures.
 CHANCE_WEIGHT = 100.0
 #: How likely strangers are taken to share a shingle, for the costs alone.
@@ -67,6 +79,7 @@ STEPS, SPARE = 24, (0.05, 0.1, 0.2, 0.4)
 MEMORY = 500_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_SALT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
 class _Hashes(dict):
@@ -90,11 +103,29 @@ def shingle_set(text: bytes, hashes: _Hashes, n: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def most_different(percent: int, sizes: int) -> int:
+    """In how many shingles two linked sets of ``sizes`` shingles together can differ."""
+    return sizes - 2 * -(-percent * sizes // (100 + percent))
+
+
 def _difference(percent: int, upper: int) -> int:
     """In how many shingles two linked sets of at most ``upper`` can differ."""
     return (100 - percent) * 2 * upper // (100 + percent)
 
 
+def _chance(m0: int, m1: int, need: int, spare: int, mean: float, documents: int) -> float:
+    """Strangers that a set is expected to meet."""
+    if m0 + m1 <= 1:
+        return 0.0
+    bare = m0 * math.exp(-mean)  # empty exact segments of a set
+    short = 0.0
+    if need and bare > 0:
+        short = 0.5 * math.erfc((spare + 0.5 - bare) / math.sqrt(2 * bare))
+    exact = SHARED * m0 * (mean * math.exp(-mean)) ** 2
+    deleted = m1 * ((1 + mean) * math.exp(-mean)) ** 2
+    return documents * (short**2 + exact + deleted)
+
+
 def plan_bands(percent: int, documents: int, largest: int):
     """For each band: (largest size, exact segments, one-deletion segments)."""
     bands, upper = [], 1
@@ -103,15 +134,11 @@ def plan_bands(percent: int, documents: int, largest: int):
         best = None
         for m1 in sorted({round((h + 2) // 2 * i / STEPS) for i in range(STEPS + 1)}):
             need = max(0, h + 1 - 2 * m1)
-            for spare in sorted({0, 1, 2, *(math.ceil(need * x) for x in SPARE)}) if need else [0]:
+            spares = sorted({0, 1, 2, *(math.ceil(need * x) for x in SPARE)}) if need else [0]
+            for spare in spares:
                 m0 = need + spare
                 m = m0 + m1
-                mean = upper / m / BAND
-                chance = 0.0
-                if m > 1:
-                    bare = m0 * math.exp(-mean)  # empty exact segments of a set
-                    short = 0.5 * math.erfc((spare + 0.5 - bare) / math.sqrt(2 * bare)) if need and bare > 0 else 0.0
-                    chance = documents * (short**2 + SHARED * m0 * (mean * math.exp(-mean)) ** 2 + m1 * ((1 + mean) * math.exp(-mean)) ** 2)
+                chance = _chance(m0, m1, need, spare, upper / m / BAND, documents)
                 cost = need + m1 * (1 + upper / m) + CHANCE_WEIGHT * chance
                 if best is None or cost < best[0]:
                     best = (cost, m0, m1)
@@ -122,18 +149,17 @@ def plan_bands(percent: int, documents: int, largest: int):
 
 
 def signatures(s: np.ndarray, bands, percent: int) -> np.ndarray:
-    """A set's signatures under its own band and, if partners can lie there, the next one."""
-    uppers = [b[0] for b in bands]
-    own = int(np.searchsorted(uppers, len(s)))
+    """A set's signatures under its own band and all later ones that can hold partners."""
+    own = int(np.searchsorted([b[0] for b in bands], len(s)))
     out = []
-    for b in (own, own + 1):
-        if b >= len(bands) or (b > own and len(s) * 100 < percent * (uppers[own] + 1)):
-            continue
+    spot, token = mix64(s ^ _SALT) >> np.uint64(32), mix64(s + _GOLD)
+    for b in range(own, len(bands)):
+        # a partner in band b has more shingles than the band before holds
+        if b > own and len(s) * 100 < percent * (bands[b - 1][0] + 1):
+            break
         upper, m0, m1 = bands[b]
         m = m0 + m1
-        part = (mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
-        part = part.astype(np.int64)
-        token = mix64(s + _GOLD)
+        part = (spot * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         total = np.zeros(m, np.uint64)
         np.add.at(total, part, token)
         tag = (np.uint64(b) << np.uint64(32)) + np.arange(m, dtype=np.uint64)
@@ -154,231 +180,435 @@ def fingerprint(s: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix64(s * _GOLD)).view(np.int64) ^ np.int64(len(s))) if len(s) else 0
 
 
-_ROWS = "doc_id long, k long, n_shingles long, node long, signatures array<long>"
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the shingles by hash: the least power of two of bits that is not below the set's size."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    spot = (mix64(s + _SALT) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(spot, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """At most in how many shingles the sets differ; the larger sketch is folded to the smaller one's size."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), len(a) * 8
+    while size > len(b) * 8:
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _may_link(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> bool:
+    """False only if two sets, given by (size, sketch), cannot be linked."""
+    if 100 * min(a[0], b[0]) < percent * max(a[0], b[0]):
+        return False
+    return sketch_distance(a[1], b[1]) <= most_different(percent, a[0] + b[0])
+
+
+# ---- signatures: packed, dealt by range, grouped ----
+
+_REP = np.uint32(1 << 31)
+_DOC, _BLOB, _SHARED = 0, 1, 2
+_DEALT = "part int, kind int, doc_id long, k1 long, k2 long, n long, node long, body binary"
+
+
+def pack(sig: np.ndarray, owner: np.ndarray, nodes: np.ndarray) -> bytes:
+    """Sorted signatures and their owners (index of the node, high bit: stands for more) as bytes."""
+    used, index = np.unique(owner & ~_REP, return_inverse=True)
+    index = index.astype(np.uint32) | (owner & _REP)
+    step = np.diff(sig, prepend=np.uint64(0))
+    planes = [step.view(np.uint8).reshape(-1, 8).T.tobytes(), index.view(np.uint8).reshape(-1, 4).T.tobytes()]
+    head = np.array([len(sig), len(used)], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, nodes[used].tobytes(), *planes]))
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, nodes, and whether the node stands for more."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, m = np.frombuffer(raw, np.int64, 2)
+    nodes = np.frombuffer(raw, np.int64, m, 16)
+    at = 16 + 8 * int(m)
+    step = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, -1).T).view(np.uint64).ravel()
+    index = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at + 8 * int(n)).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(step, dtype=np.uint64), nodes[index & ~_REP], (index & _REP) != 0
+
+
+def _rows(columns: list[list], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    parts = [c.split() for c in schema.split(", ")]
+    return pa.record_batch([pa.array(v, kinds[t]) for v, (_, t) in zip(columns, parts, strict=True)], names=[n for n, _ in parts])
+
+
+def _groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, np.int64)
+    return cut[:-1], np.diff(cut)
+
+
+def _combine(sig: np.ndarray, owner: np.ndarray, nodes: np.ndarray):
+    """Signatures of a batch in order; those of HOT nodes or more are left to their smallest node, and given apart."""
+    order = np.lexsort((nodes[owner], sig))
+    sig, owner = sig[order], owner[order].astype(np.uint32)
+    start, length = _groups(sig)
+    hot = length >= HOT
+    if not hot.any():
+        return sig, owner, []
+    shared = [(sig[a], nodes[owner[a : a + n]]) for a, n in zip(start[hot], length[hot], strict=True)]
+    keep = ~np.repeat(hot, length)
+    first = start[hot]
+    keep[first] = True
+    owner[first] |= _REP
+    return sig[keep], owner[keep], shared
+
+
+def _extract(bands, percent: int, n: int, parts: int):
+    def packed(sets: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        sigs = [signatures(s, bands, percent) for s in sets]
+        owner = np.repeat(np.arange(len(sigs), dtype=np.int64), [len(s) for s in sigs])
+        numbers = np.array(nodes, np.int64)
+        sig, owner, shared = _combine(np.concatenate(sigs), owner, numbers)
+        part = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        cut = np.searchsorted(part, np.arange(parts + 1))
+        rows = [(p, _BLOB, pack(sig[a:b], owner[a:b], numbers)) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+        rows += [(int(s % np.uint64(parts)), _SHARED, np.concatenate([[s.view(np.int64)], m]).tobytes()) for s, m in shared]
+        none = [None] * len(rows)
+        yield _rows([[r[0] for r in rows], [r[1] for r in rows], none, none, none, none, none, [r[2] for r in rows]], _DEALT)
 
-
-def _extract(bands, percent: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         written: set[int] = set()
-        none = np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, int]] = []
+        size = turn = 0
         for whole in batches:
-            for batch in slices(whole, 2, 4 << 20):
-                sets = [shingle_set(t, hashes, n) for t in utf8(batch.column(2))]
+            for batch in slices(whole, 3, 4 << 20):
+                texts = utf8(batch.column(3))
+                sets = [shingle_set(t, hashes, n) for t in texts]
                 nodes = [fingerprint(s) for s in sets]
-                sigs = []
+                bodies: list[bytes | None] = []
                 for s, node in zip(sets, nodes, strict=True):
-                    fresh = len(s) and node not in written
-                    sigs.append(signatures(s, bands, percent).view(np.int64) if fresh else none)
                     if len(written) > MEMORY:
                         written.clear()
-                    written.add(node)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)) if sigs else pa.array([], pa.int64()))
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "k", "n_shingles", "node", "signatures"])
+                    fresh_node = len(s) and node not in written
+                    bodies.append(sketch(s) if fresh_node else None)
+                    if fresh_node:
+                        written.add(node)
+                        held.append((s, node))
+                        size += 8 * len(s)
+                places = [(turn + i) % parts for i in range(len(texts))]
+                turn += len(texts)
+                columns = [batch.column(j).to_pylist() for j in range(3)]
+                yield _rows([places, [_DOC] * len(texts), *columns, [len(s) for s in sets], nodes, bodies], _DEALT)
+                if size > BATCH_BYTES:
+                    yield from packed(*map(list, zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield from packed(*map(list, zip(*held, strict=True)))
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (signature, node) in sorted order, each node tied to the first of its signature."""
-    last_sig = last_node = None
+_MARKED = "kind int, doc_id long, k1 long, k2 long, n long, node long, body binary"
+_TIE, _MEMBER = 1, 2
+
+
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents pass; of signatures, ties (n: node, node: the smallest), and the members of those with more than two nodes."""
+
+    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = [None] * len(a)
+        return _rows([[kind] * len(a), none, none, none, a, b, none], _MARKED)
+
+    def ties(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+        return out(_TIE, pairs[:, 0], pairs[:, 1])
+
+    blobs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, node = (batch.column(j).to_numpy(zero_copy_only=False) for j in (0, 1))
-        new = np.concatenate([[sig[0] != last_sig], sig[1:] != sig[:-1]]) if last_sig is not None else np.concatenate([[True], sig[1:] != sig[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        first = np.where(at >= 0, node[np.maximum(at, 0)], last_node if last_node is not None else 0)
-        last_sig, last_node = sig[-1], first[-1]
-        tied = np.flatnonzero(first != node)
-        pairs = np.unique(np.stack([node[tied], first[tied]], 1), axis=0) if len(tied) else np.empty((0, 2), np.int64)
-        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def _links(sets: list[np.ndarray], left: np.ndarray, percent: int, every: bool = False) -> list[tuple[int, int, int]]:
-    """A spanning forest of the links among sets, or every link, with the shingles shared; only between the sides if ``left`` has both."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-
-    def join(i: int, j: int, shared: int) -> None:
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-        if a != b or every:
-            edges.append((i, j, shared))
-
-    cross = left.any() and not left.all()
-    if n <= 6:
-        for i in range(n):
-            for j in range(i + 1, n):
-                if (cross and left[i] == left[j]) or (not every and root(i) == root(j)) or 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
-                    continue
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
-                    join(i, j, shared)
-        return edges
-    # intersection sizes by counting: an inverted index over the shingles that at least two sets hold
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    cut = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
-    length = np.diff(cut)
-    keep = np.repeat(length > 1, length)
-    number = np.repeat(np.arange(len(length)), length)[keep]
-    owner = owner[keep]
-    if not len(owner):
-        return edges
-    number = np.unique(number, return_inverse=True)[1]
-    width = int(number.max()) + 1
-    shared = np.zeros((n, n), np.float32)
-    for a in range(0, width, 8192):
-        own = (number >= a) & (number < a + 8192)
-        matrix = np.zeros((n, min(8192, width - a)), np.float32)
-        matrix[owner[own], number[own] - a] = 1
-        shared += matrix @ matrix.T
-    shared = np.rint(shared).astype(np.int64)
-    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
-    if cross:
-        linked &= left[:, None] != left[None, :]
-    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        join(int(i), int(j), int(shared[i, j]))
-    return edges
-
-
-def _verify(percent: int, every: bool = False):
+        kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+        own = pa.array(kinds == _DOC)
+        docs = batch.filter(own).drop_columns(["part"])
+        if docs.num_rows:
+            yield docs
+        for kind, body in zip(kinds, batch.column("body").to_pylist(), strict=True):
+            if kind == _BLOB:
+                blobs.append(unpack(body))
+            elif kind == _SHARED:
+                sig, *members = np.frombuffer(body, np.int64)
+                members = np.array(members)
+                yield ties(members, np.full(len(members), members[0]))
+                yield out(_MEMBER, np.full(len(members), sig), members)
+    if not blobs:
+        return
+    sig, node, rep = (np.concatenate([b[j] for b in blobs]) for j in range(3))
+    del blobs
+    order = np.argsort(sig, kind="stable")
+    sig, node, rep = sig[order], node[order], rep[order]
+    _, length = _groups(sig)
+    many = np.repeat(length, length) > 1  # most signatures are one node's
+    sig, node, rep = sig[many], node[many], rep[many]
+    order = np.lexsort((~rep, node, sig))
+    sig, node, rep = sig[order], node[order], rep[order]
+    again = np.zeros(len(sig), bool)
+    again[1:] = (sig[1:] == sig[:-1]) & (node[1:] == node[:-1])
+    sig, node, rep = sig[~again], node[~again], rep[~again]
+    start, length = _groups(sig)
+    if not len(sig):
+        return
+    yield ties(node, np.repeat(node[start], length))
+    open_ = (length > 2) | ((length > 1) & (np.add.reduceat(rep.astype(np.int64), start) > 0))
+    keep = np.repeat(open_, length)
+    yield out(_MEMBER, sig[keep].view(np.int64), node[keep])
+
+
+# ---- candidates ----
+
+
+def _thin(percent: int):
+    """(a, b) of the pairs whose sketches do not rule a link out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        for batch in batches:
+            a, b, na, nb, sa, sb = (batch.column(j).to_pylist() for j in range(6))
+            keep = [_may_link((x, s), (y, t), percent) for x, y, s, t in zip(na, nb, sa, sb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
-        def flush() -> pa.RecordBatch:
-            key = held[0][0]
-            sets = [np.frombuffer(x[3], np.uint64) for x in held]
-            left = np.array([x[2] == key[1] for x in held])
-            edges = _links(sets, left if key[1] != key[2] else np.ones(len(held), bool), percent, every)
-            nodes = [x[1] for x in held]
-            columns = [[nodes[i] for i, _, _ in edges], [nodes[j] for _, j, _ in edges]]
-            names = ["a", "b"]
-            if every:
-                columns += [[c for _, _, c in edges], [len(sets[i]) + len(sets[j]) - c for i, j, c in edges]]
-                names += ["shared", "either"]
-            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=names)
 
+def _thinned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return met.mapInArrow(_thin(percent), "a long, b long")
+
+
+def _cells(percent: int):
+    """Pairs (larger node first) of different roots in the cells of a signature, whose sketches do not rule a link out."""
+
+    def compare(rows: list[tuple]) -> pa.RecordBatch:
+        minor = sorted(((n, node, root, body) for side, node, root, n, body in rows if side == 1), key=lambda x: x[0])
+        found = set()
+        sizes = [x[0] for x in minor]
+        for side, node, root, n, body in rows:
+            if side == 1:
+                continue
+            lo = int(np.searchsorted(sizes, -(-percent * n // 100)))
+            hi = int(np.searchsorted(sizes, 100 * n // percent, side="right"))
+            for other, one, its, theirs in minor[lo:hi]:
+                if its != root and one != node and _may_link((n, body), (other, theirs), percent):
+                    found.add((max(node, one), min(node, one)))
+        return _rows([[a for a, _ in found], [b for _, b in found]], "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
         for batch in batches:
-            for root, bi, bj, node, own, body in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
-                key = (root, bi, bj)
-                if held and held[0][0] != key:
-                    yield flush()
-                    held = []
-                if not any(x[1] == node for x in held[-1:]):
-                    held.append((key, node, own, body))
+            for sig, i, j, *row in zip(*(batch.column(x).to_pylist() for x in range(8)), strict=True):
+                if key != (sig, i, j):
+                    if held:
+                        yield compare(held)
+                    held, key = [], (sig, i, j)
+                held.append(tuple(row))
         if held:
-            yield flush()
+            yield compare(held)
 
     return run
 
 
-def _sets(n: int):
+def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, block: int) -> DataFrame:
+    """Candidates within signatures, between nodes of different roots.
+
+    The nodes of a signature that are not of its most frequent root meet all of its
+    nodes, in cells of ``block`` by ``block``; those of that root never meet each other.
+    """
+    known = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    counts = known.groupBy("sig", "root").agg(F.count("*").alias("c"))
+    groups = counts.groupBy("sig").agg(F.sum("c").alias("g"), F.max("c").alias("top"), F.max_by("root", "c").alias("main"), F.count("*").alias("roots"))
+    groups = groups.where("roots > 1")
+    ni, nj = F.ceil(F.col("g") / block), F.ceil((F.col("g") - F.col("top")) / block)
+    wanted = known.join(groups.select("sig", "main", ni.alias("ni"), nj.alias("nj")), "sig").join(nodes, "node")
+    spot = lambda seed, width: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(width))
+    upto = lambda width: F.sequence(F.lit(0).cast("long"), F.col(width) - 1)
+    cell = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    rows = F.transform(upto("nj"), lambda j: cell(0, spot(1, "ni"), j))
+    minors = F.when(F.col("root") != F.col("main"), F.transform(upto("ni"), lambda i: cell(1, i, spot(2, "nj"))))
+    nothing = F.array().cast("array<struct<side:int,i:bigint,j:bigint>>")
+    dealt = wanted.select("sig", "node", "root", "n", "sketch", F.explode(F.concat(rows, F.coalesce(minors, nothing))).alias("at"))
+    dealt = dealt.select("sig", "at.i", "at.j", "at.side", "node", "root", "n", "sketch")
+    met = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return met.mapInArrow(_cells(percent), "a long, b long").distinct()
+
+
+# ---- verification ----
+
+_LINK = "a long, b long, shared long, either long"
+
+
+def _verify(percent: int, n: int):
+    """Rows (place, salt, order, node, text), sorted: a place's own text (order 0) comes before its visitors'."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        place = host = last = None
         for whole in batches:
-            for batch in slices(whole, whole.schema.get_field_index("text"), 4 << 20):
-                bodies = [shingle_set(t, hashes, n).tobytes() for t in utf8(batch.column("text"))]
-                yield pa.record_batch([batch.column("root"), batch.column("node"), batch.column("own"), batch.column("pairs"), pa.array(bodies, pa.binary())], names=["root", "node", "own", "pairs", "body"])
+            for batch in slices(whole, 4, 4 << 20):
+                found = []
+                columns = [batch.column(j).to_pylist() for j in range(4)]
+                for hub, salt, order, node, text in zip(*columns, utf8(batch.column(4)), strict=True):
+                    if (hub, salt, node) == last:  # rows equal in id and text
+                        continue
+                    last = (hub, salt, node)
+                    own = shingle_set(text, hashes, n)
+                    if order == 0:
+                        place, host = (hub, salt), own
+                        continue
+                    if place != (hub, salt):
+                        raise RuntimeError("a visitor without its host")
+                    small, large = (own, host) if len(own) < len(host) else (host, own)
+                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    shared = int((large[at] == small).sum())
+                    either = len(own) + len(host) - shared
+                    if 100 * shared >= percent * either:
+                        found.append((node, hub, shared, either))
+                yield _rows([[f[j] for f in found] for j in range(4)], _LINK)
 
     return run
 
 
-def _candidates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents with their nodes, and the nodes' sets in the pairs of blocks that are to be verified; every pair meets once."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
-    total, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    bands = plan_bands(percent, total, longest // 2 + 1)
-    marked = stage(rows.select("doc_id", "k", "text").mapInArrow(_extract(bands, percent, shingle), _ROWS), "sets")
-
-    ties = marked.select(F.explode("signatures").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "a long, b long")
-    groups = components(ties)
-    # deal the nodes of a group into blocks, and let every pair of blocks that can hold links meet once
-    first = marked.where("n_shingles > 0").groupBy("node").agg(F.min("k").alias("k"), F.max("n_shingles").alias("n"))
-    members = stage(groups.join(first, "node"), "members")
-    sized = members.groupBy("root").agg(F.count("*").alias("g"))
-    # linked sets differ by one class of size at most; a group of one block needs no classes
-    own_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.001 * 100 / percent))
-    classed = members.join(sized, "root").withColumn("c", F.when(F.col("g") > block, own_class).otherwise(F.lit(0)).cast("long")).drop("g")
-    cells = classed.groupBy("root", "c").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / MOST_SHINGLES)).cast("long").alias("nb"))
-    by_class = Window.partitionBy("root").orderBy("c")  # some dozens of classes
-    beside = lambda f, step: F.when(f("c").over(by_class) == F.col("c") + step, f("nb").over(by_class)).otherwise(F.lit(0))
-    cells = cells.withColumns({"up": beside(F.lead, 1), "down": beside(F.lag, -1)})
-    number = lambda c, i: F.shiftleft(c, 32) + i
-    run = lambda c, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda i: number(c, i))).otherwise(F.array().cast("array<bigint>"))
-    meets = F.concat(run(F.col("c"), F.col("nb")), run(F.col("c") + 1, F.col("up")), run(F.col("c") - 1, F.col("down")))
-    pairs = F.transform(meets, lambda j: F.struct(F.least("own", j).alias("bi"), F.greatest("own", j).alias("bj")))
-    wanted = classed.join(cells, ["root", "c"]).withColumn("own", number(F.col("c"), F.pmod(F.xxhash64("node"), F.col("nb")))).select("k", "node", "root", "own", pairs.alias("pairs"))
-    texts = rows.select("k", "text").join(wanted, "k").select("root", "node", "own", "pairs", "text")
-    cut = texts.mapInArrow(_sets(shingle), "root long, node long, own long, pairs array<struct<bi:bigint,bj:bigint>>, body binary")
-    dealt = cut.select("root", F.explode("pairs").alias("p"), "node", "own", "body").select("root", "p.bi", "p.bj", "node", "own", "body")
-    return marked, dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "node")
-
-
-def _classes(docs: DataFrame, percent: int = PERCENT, **options) -> tuple[DataFrame, DataFrame]:
-    """Documents with their nodes, and per node with words the smallest doc_id and the class root (a node)."""
-    marked, met = _candidates(docs, percent, **options)
-    classes = components(met.mapInArrow(_verify(percent), "a long, b long"))
-    ids = marked.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return marked, ids
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The links among (a, b): a's text visits b's; a host of many visitors has places for PLACE of them each."""
+    hosts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PLACE).alias("salts"))
+    visits = pairs.join(hosts, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("turn"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+    stays = hosts.select(F.col("b").alias("node"), F.col("b").alias("hub"), salts.alias("salt"), F.lit(0).alias("turn"))
+    wanted = visits.unionByName(stays).join(nodes.select("node", "k1", "k2"), "node")
+    carried = texts.join(wanted, ["k1", "k2"]).select("hub", "salt", "turn", "node", "text")
+    met = carried.repartition("hub", "salt")
+    return met.sortWithinPartitions("hub", "salt", "turn", "node").mapInArrow(_verify(percent, shingle), _LINK)
+
+
+# ---- the join ----
+
+
+class _Join:
+    """Documents (doc_id, k1, k2, n, node), nodes (node, k1, k2, n, sketch), thinned ties and the members of signatures."""
+
+    def __init__(self, docs: DataFrame, percent: int, shingle: int, block: int, id_col: str, text_col: str):
+        self.percent, self.shingle, self.block = percent, shingle, block
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        rows = base.select("doc_id", *row_key("doc_id", "text"), "text")
+        sizes = rows.agg(F.count("*"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)))
+        total, longest, size = sizes.first()
+        bands = plan_bands(percent, total, longest // 2 + 1)
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+        dealt = rows.mapInArrow(_extract(bands, percent, shingle, parts), _DEALT).repartitionById(parts, F.col("part"))
+        marked = stage(dealt.mapInArrow(_group, _MARKED), "marked")
+        self.texts = rows.select("k1", "k2", "text")
+        self.docs = marked.where(F.col("kind") == _DOC).select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "node")
+        self.members = marked.where(F.col("kind") == _MEMBER).select(F.col("n").alias("sig"), "node")
+        one = F.min(F.struct("k1", "k2")).alias("k")
+        nodes = marked.where((F.col("kind") == _DOC) & (F.col("n") > 0)).groupBy("node").agg(one, F.max("n").alias("n"), F.max("body").alias("sketch"))
+        self.nodes = stage(nodes.select("node", "k.k1", "k.k2", "n", "sketch"), "nodes")
+        ties = marked.where(F.col("kind") == _TIE).select(F.col("n").alias("a"), F.col("node").alias("b")).distinct()
+        self.ties = stage(_thinned(ties, self.sketches, percent), "ties")
+        release(docs.sparkSession)
+
+    @property
+    def sketches(self) -> DataFrame:
+        return self.nodes.select("node", "n", "sketch")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        return stage(_verified(pairs, self.nodes, self.texts, self.percent, self.shingle), "links")
+
+    def across(self, roots: DataFrame) -> DataFrame:
+        return _across(self.members, self.sketches, roots, self.percent, self.block)
+
+    def forest(self) -> DataFrame:
+        """node, root for every node with words: links enough to connect what is linked."""
+        first = stage(self.ties.groupBy("a").agg(F.min("b").alias("b")), "first")
+        links = self.verified(first).select("a", "b")
+        roots = components(links)
+        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        apart = self.ties.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        more = apart.unionByName(self.across(roots)).distinct().join(first, ["a", "b"], "left_anti")
+        late = self.verified(stage(more, "late")).select("a", "b")
+        if not late.isEmpty():
+            roots = components(links.unionByName(late))
+        release(self.docs.sparkSession)
+        return self.nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+    def links(self) -> DataFrame:
+        """Every link between nodes."""
+        none = self.nodes.select("node", F.col("node").alias("root")).limit(0)
+        return self.verified(stage(self.ties.unionByName(self.across(none)).distinct(), "pairs"))
+
+
+def _join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> _Join:
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    return _Join(docs, percent, shingle, block, id_col, text_col)
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, and k (a hash of id and text, for joining decisions back)."""
-    marked, ids = _classes(docs, **options)
+    """Per document: doc_id, n_shingles, component_id."""
+    join = _join(docs, **options)
+    ids = join.docs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(join.forest(), "node")
     lowest = ids.groupBy("root").agg(F.min("low").alias("component_id"))
     named = ids.join(lowest, "root").select("node", "component_id")
-    with_words = marked.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id", "k")
-    return with_words.unionByName(marked.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "k"))
+    with_words = join.docs.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
+    alone = join.docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return with_words.unionByName(alone)
 
 
-def jaccard_links(docs: DataFrame, percent: int = PERCENT, **options) -> tuple[DataFrame, DataFrame]:
-    """The links themselves: (pairs of linked nodes: a, b, similarity; documents: doc_id, k, n_shingles, node, n_links).
+def jaccard_links(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The links themselves: (pairs of linked nodes: a, b, similarity; documents: doc_id, n_shingles, node, n_links).
 
     A node stands for all documents of one set of shingles, so copies make no pairs.
     n_links counts the other documents that a document is linked with: those of its
     own node and of the nodes linked with it. Documents without words have no node.
     """
-    marked, met = _candidates(docs, percent, **options)
-    found = met.mapInArrow(_verify(percent, True), "a long, b long, shared long, either long")
+    join = _join(docs, **options)
+    found = join.links()
     pairs = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("shared") / F.col("either")).alias("similarity")), "pairs")
-    held = marked.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("held"))
+    held = join.docs.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("held"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     beside = both.join(held.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("held").alias("beside"))
     counted = held.join(beside, "node", "left").select("node", (F.col("held") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
-    rows = marked.select("doc_id", "k", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
-    return pairs, rows.join(counted, "node", "left").select("doc_id", "k", "n_shingles", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows = join.docs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    return pairs, rows.join(counted, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the one of the smallest id, nulls last (of rows equal in id, the first by text hash), and all without words."""
-    marked, ids = _classes(docs, **options)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group, and all without words, with all their columns.
+
+    The one of the smallest id stays, nulls last; of rows equal in id, the first by
+    a hash of the text; of rows equal in id and text, any one.
+    """
+    join = _join(docs, id_col=id_col, text_col=text_col, **options)
     # a group is known by its root: ids may be null, or shared by documents of other groups
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")
-    chosen = marked.where("n_shingles > 0").select("doc_id", "k", "node").join(ids.select("node", "root"), "node").groupBy("root").agg(first)
-    alone = marked.where("n_shingles = 0").select("k").distinct()
-    wanted = alone.select(F.col("k").alias("_k"), F.lit(True).alias("_alone")).unionByName(chosen.select(F.col("first.k").alias("_k"), F.lit(False).alias("_alone")))
-    keyed = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    row = F.row_number().over(Window.partitionBy("_k").orderBy("doc_id"))
-    return keyed.join(wanted, "_k").withColumn("_row", row).where("_alone or _row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
+    with_words = join.docs.where("n_shingles > 0").select("doc_id", "k1", "k2", "node")
+    chosen = with_words.join(join.forest(), "node").groupBy("root").agg(first)
+    k1, k2, alone, row = fresh(docs, "k1", "k2", "alone", "row")
+    empty = join.docs.where("n_shingles = 0").select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct().withColumn(alone, F.lit(True))
+    kept = chosen.select(F.col("first.k1").alias(k1), F.col("first.k2").alias(k2), F.lit(False).alias(alone))
+    a, b = row_key(id_col, text_col)
+    keyed = docs.withColumns({k1: a, k2: b}).join(empty.unionByName(kept), [k1, k2])
+    # rows equal in id and text: one a group, and such rows are counted, not gathered
+    several = keyed.where(~F.col(alone)).groupBy(k1, k2).agg(F.count("*").alias(row)).where(F.col(row) > 1)
+    plain = keyed.join(several.select(k1, k2), [k1, k2], "left_anti")
+    repeated = keyed.join(several.select(k1, k2), [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    return plain.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def row_key(id_col: str, text_col: str) -> list:
+    """k1, k2: 128 bits that know a row by its id and text."""
+    of = lambda seed: F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))
+    return [of(1).alias("k1"), of(2).alias("k2")]
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("k")
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP6_SQL = f"""

@@ -2,8 +2,8 @@
 
 A staged table cuts the lineage: if an executor is lost, later stages read the
 written files again instead of recomputing. The folder is the one the cluster
-names in ``spark.checkpoint.dir``; only where that is unset (single-machine
-tests) a folder of this process is made and set.
+names in ``spark.checkpoint.dir``; where that is unset, a local master (tests on a
+single machine) gets a folder of this process, and a cluster an error.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI, without a trailing slash."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_KEY} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
@@ -31,10 +33,17 @@ def stage_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there."""
-    spark = df.sparkSession
-    path = stage_path(spark, name)
+    return stage_at(df, stage_path(df.sparkSession, name))
+
+
+def stage_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more (it does so at a collection)."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
