@@ -31,13 +31,13 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read from there."""
-    return stage_at(df, stage_path(df.sparkSession, name))
+def stage(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return it as read from there; options are the Parquet writer's."""
+    return stage_at(df, stage_path(df.sparkSession, name), options)
 
 
-def stage_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def stage_at(df: DataFrame, path: str, options: dict | None = None) -> DataFrame:
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
