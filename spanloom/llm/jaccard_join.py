@@ -23,12 +23,13 @@ and probe every further band that can hold partners.
    Candidates are thinned by parity sketches: bit j of a node's sketch is the parity
    of its shingles with hash j, so the bits in which two sketches differ are at most
    the shingles in which the sets differ. No linked pair is lost, strangers are.
-3. Of the candidates left, each node is verified with one of them, by the exact
-   intersection of both texts' shingles. A text is sent once, to its partner.
-4. Candidates whose nodes the verified links do not connect yet are taken up again:
-   the others of step 2, and all pairs of a signature that lie in different
-   components, compared by sketch in blocks - never pairs within a component. They
-   are verified alike, and the components of all verified links are the classes.
+3. Of the candidates left, each node is verified with the nearest by sketch, by the
+   exact intersection of both texts' shingles. A text is sent once, to its partner.
+4. Candidates whose nodes the verified links do not connect yet are taken up again in
+   rounds: the others of step 2, and the pairs of a signature that lie in different
+   components, compared by sketch in blocks - never pairs within a component. A round
+   verifies each node's nearest ones; the last round, when no link was found, all that
+   are left. The components of all verified links are the classes.
 
 Nodes are 64-bit fingerprints of sets of 64-bit shingle hashes; rows are known by
 128 bits of id and text.
@@ -43,13 +44,14 @@ no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -69,6 +71,8 @@ BATCH_BYTES = 24 << 20
 HOT = 16
 #: Partners that meet at one place.
 PLACE = 512
+#: Candidates of a node that a round verifies.
+WIDTH = 2
 #: Chance partners weigh as much as this many signatures.
 CHANCE_WEIGHT = 100.0
 #: How likely strangers are taken to share a shingle, for the costs alone.
@@ -198,11 +202,12 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
-def _may_link(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> bool:
-    """False only if two sets, given by (size, sketch), cannot be linked."""
+def _distance(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> int | None:
+    """A lower bound of the shingles in which two sets, given by (size, sketch), differ; None if they cannot be linked."""
     if 100 * min(a[0], b[0]) < percent * max(a[0], b[0]):
-        return False
-    return sketch_distance(a[1], b[1]) <= most_different(percent, a[0] + b[0])
+        return None
+    least = sketch_distance(a[1], b[1])
+    return least if least <= most_different(percent, a[0] + b[0]) else None
 
 
 # ---- signatures: packed, dealt by range, grouped ----
@@ -363,14 +368,18 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- candidates ----
 
 
+_PAIR = "a long, b long, distance long"
+
+
 def _thin(percent: int):
-    """(a, b) of the pairs whose sketches do not rule a link out."""
+    """(a, b, least distance) of the pairs whose sketches do not rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, sa, sb = (batch.column(j).to_pylist() for j in range(6))
-            keep = [_may_link((x, s), (y, t), percent) for x, y, s, t in zip(na, nb, sa, sb, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = [_distance((x, s), (y, t), percent) for x, y, s, t in zip(na, nb, sa, sb, strict=True)]
+            keep = [i for i, d in enumerate(found) if d is not None]
+            yield _rows([[a[i] for i in keep], [b[i] for i in keep], [found[i] for i in keep]], _PAIR)
 
     return run
 
@@ -378,25 +387,37 @@ def _thin(percent: int):
 def _thinned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    return met.mapInArrow(_thin(percent), "a long, b long")
+    return met.mapInArrow(_thin(percent), _PAIR)
 
 
-def _cells(percent: int):
-    """Pairs (larger node first) of different roots in the cells of a signature, whose sketches do not rule a link out."""
+def _cells(percent: int, width: int | None):
+    """Pairs (larger node first) of different roots in the cells of a signature, whose sketches do not rule a link out.
+
+    Of a node's partners in a cell the ``width`` nearest by sketch; None: all.
+    """
 
     def compare(rows: list[tuple]) -> pa.RecordBatch:
         minor = sorted(((n, node, root, body) for side, node, root, n, body in rows if side == 1), key=lambda x: x[0])
-        found = set()
         sizes = [x[0] for x in minor]
+        best: list[list[tuple[int, int]]] = [[] for _ in minor]
         for side, node, root, n, body in rows:
             if side == 1:
                 continue
-            lo = int(np.searchsorted(sizes, -(-percent * n // 100)))
-            hi = int(np.searchsorted(sizes, 100 * n // percent, side="right"))
-            for other, one, its, theirs in minor[lo:hi]:
-                if its != root and one != node and _may_link((n, body), (other, theirs), percent):
-                    found.add((max(node, one), min(node, one)))
-        return _rows([[a for a, _ in found], [b for _, b in found]], "a long, b long")
+            lo = bisect_left(sizes, -(-percent * n // 100))
+            hi = bisect_right(sizes, 100 * n // percent)
+            for i in range(lo, hi):
+                other, one, its, theirs = minor[i]
+                if its == root or one == node:
+                    continue
+                d = _distance((n, body), (other, theirs), percent)
+                own = best[i]
+                if d is None or (width is not None and len(own) == width and (d, node) >= own[-1]):
+                    continue
+                insort(own, (d, node))
+                if width is not None and len(own) > width:
+                    own.pop()
+        found = {(max(node, one[1]), min(node, one[1])): d for one, own in zip(minor, best, strict=True) for d, node in own}
+        return _rows([[a for a, _ in found], [b for _, b in found], list(found.values())], _PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -414,20 +435,20 @@ def _cells(percent: int):
     return run
 
 
-def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, block: int) -> DataFrame:
+def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, block: int, width: int | None) -> DataFrame:
     """Candidates within signatures, between nodes of different roots.
 
     The nodes of a signature that are not of its most frequent root meet all of its
     nodes, in cells of ``block`` by ``block``; those of that root never meet each other.
     """
-    known = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    known = members.join(roots, "node")
     counts = known.groupBy("sig", "root").agg(F.count("*").alias("c"))
-    groups = counts.groupBy("sig").agg(F.sum("c").alias("g"), F.max("c").alias("top"), F.max_by("root", "c").alias("main"), F.count("*").alias("roots"))
-    groups = groups.where("roots > 1")
+    several = [F.sum("c").alias("g"), F.max("c").alias("top"), F.max_by("root", "c").alias("main"), F.count("*").alias("roots")]
+    groups = counts.groupBy("sig").agg(*several).where("roots > 1")
     ni, nj = F.ceil(F.col("g") / block), F.ceil((F.col("g") - F.col("top")) / block)
     wanted = known.join(groups.select("sig", "main", ni.alias("ni"), nj.alias("nj")), "sig").join(nodes, "node")
-    spot = lambda seed, width: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(width))
-    upto = lambda width: F.sequence(F.lit(0).cast("long"), F.col(width) - 1)
+    spot = lambda seed, wide: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(wide))
+    upto = lambda wide: F.sequence(F.lit(0).cast("long"), F.col(wide) - 1)
     cell = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
     rows = F.transform(upto("nj"), lambda j: cell(0, spot(1, "ni"), j))
     minors = F.when(F.col("root") != F.col("main"), F.transform(upto("ni"), lambda i: cell(1, i, spot(2, "nj"))))
@@ -435,7 +456,14 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int
     dealt = wanted.select("sig", "node", "root", "n", "sketch", F.explode(F.concat(rows, F.coalesce(minors, nothing))).alias("at"))
     dealt = dealt.select("sig", "at.i", "at.j", "at.side", "node", "root", "n", "sketch")
     met = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return met.mapInArrow(_cells(percent), "a long, b long").distinct()
+    return met.mapInArrow(_cells(percent, width), _PAIR)
+
+
+def _nearest(pairs: DataFrame, width: int) -> DataFrame:
+    """Of the pairs of every node, on either side, the ``width`` nearest."""
+    both = [F.struct(F.col(x).alias("own"), "a", "b", "distance") for x in ("a", "b")]
+    rank = F.row_number().over(Window.partitionBy("own").orderBy("distance", "a", "b"))
+    return pairs.select(F.inline(F.array(*both))).withColumn("r", rank).where(F.col("r") <= width).select("a", "b", "distance").distinct()
 
 
 # ---- verification ----
@@ -519,28 +547,54 @@ class _Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         return stage(_verified(pairs, self.nodes, self.texts, self.percent, self.shingle), "links")
 
-    def across(self, roots: DataFrame) -> DataFrame:
-        return _across(self.members, self.sketches, roots, self.percent, self.block)
+    def candidates(self, roots: DataFrame, width: int | None) -> DataFrame:
+        """a, b, distance: what the sketches leave between nodes of different roots."""
+        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        apart = self.ties.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select("a", "b", "distance")
+        return apart.unionByName(_across(self.members, self.sketches, roots, self.percent, self.block, width)).distinct()
 
     def forest(self) -> DataFrame:
-        """node, root for every node with words: links enough to connect what is linked."""
-        first = stage(self.ties.groupBy("a").agg(F.min("b").alias("b")), "first")
-        links = self.verified(first).select("a", "b")
-        roots = components(links)
-        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        apart = self.ties.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        more = apart.unionByName(self.across(roots)).distinct().join(first, ["a", "b"], "left_anti")
-        late = self.verified(stage(more, "late")).select("a", "b")
-        if not late.isEmpty():
-            roots = components(links.unionByName(late))
-        release(self.docs.sparkSession)
-        return self.nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        """node, root for every node with words: links enough to connect what is linked.
+
+        Every round verifies, for each node, its nearest candidates of other components,
+        and joins the components that links connect, so that of a group of near copies
+        about as many pairs are verified as it has nodes. When a round finds no link,
+        all candidates that are left are verified.
+        """
+        nearest = F.min(F.struct("distance", "b")).alias("x")
+        tried = stage(self.ties.groupBy("a").agg(nearest).select("a", F.col("x.b").alias("b")), "tried")
+        found = components(self.verified(tried).select("a", "b"))
+        roots = stage(self._over(self.nodes.select("node", F.col("node").alias("root")), found), "roots")
+        width: int | None = WIDTH
+        while True:
+            left = self.candidates(roots, width).join(tried, ["a", "b"], "left_anti")
+            pairs = stage((_nearest(left, width) if width else left).select("a", "b"), "tried")
+            if pairs.isEmpty():
+                break
+            links = self.verified(pairs)
+            of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))  # noqa: B023, E731
+            joins = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            found = components(joins)
+            if width is None:
+                return self._over(roots, found)
+            if found.isEmpty():
+                width = None
+            else:
+                roots = stage(self._over(roots, found), "roots")
+            tried = tried.unionByName(pairs)
+            release(self.docs.sparkSession)
+        return roots
+
+    @staticmethod
+    def _over(roots: DataFrame, found: DataFrame) -> DataFrame:
+        """Roots after some of them have got roots themselves."""
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("later"))
+        return roots.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
 
     def links(self) -> DataFrame:
         """Every link between nodes."""
-        none = self.nodes.select("node", F.col("node").alias("root")).limit(0)
-        return self.verified(stage(self.ties.unionByName(self.across(none)).distinct(), "pairs"))
+        alone = self.nodes.select("node", F.col("node").alias("root"))
+        return self.verified(stage(self.candidates(alone, None).select("a", "b").distinct(), "pairs"))
 
 
 def _join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> _Join:
