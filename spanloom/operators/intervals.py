@@ -7,38 +7,50 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import meta_columns
-from .joins import overlap_join
+from ..schema import meta_columns, running
+from .joins import anti, overlap_join
 
 
 def merge(*sets: DataFrame) -> DataFrame:
-    """The union of intervals: overlapping ranges become one, touching ones stay apart; strand and metadata go."""
+    """The union of intervals: overlapping ranges become one, touching ones stay apart; strand and metadata go.
+
+    A range begins an island if nothing before it reaches it. Both the reach and the
+    island's start are running maxima, which run by chunks of a sequence.
+    """
     rows = reduce(DataFrame.unionByName, [s.select("seqname", "from", "to") for s in sets]).where(F.col("from") < F.col("to"))
-    before = Window.partitionBy("seqname").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("seqname").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, 0)
-    new = F.when(F.col("from") >= F.max("to").over(before), 1).when(F.max("to").over(before).isNull(), 1).otherwise(0)
-    runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(upto))
-    out = runs.groupBy("seqname", "run").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    return out.select("seqname", "from", "to", F.lit("*").alias("strand"))
-
-
-def islands(df: DataFrame, keep: Column, value: str | None = None) -> DataFrame:
-    """Maximal runs of neighbouring bins that satisfy a condition (and have equal values): seqname, run, first, last."""
-    rows = df.where(keep)
-    w = Window.partitionBy("seqname").orderBy("bin")
+    order = [F.col("from"), F.col("to")]
+    reach = running(rows, "from", order, "to", "_reach", largest=True, before=True)
+    new = F.when(F.col("_reach").isNull() | (F.col("from") >= F.col("_reach")), F.col("from"))
+    # of equal ranges the one that begins the island comes first
+    order.append(F.col("_new").asc_nulls_last())
+    starts = running(reach.withColumn("_new", new), "from", order, "_new", "_start", largest=True)
+    out = starts.groupBy("seqname", "_start").agg(F.max("to").alias("to"))
+    return out.select("seqname", F.col("_start").alias("from"), "to", F.lit("*").alias("strand"))
+
+
+def islands(df: DataFrame, keep: Column, value: str | None = None, chunk: int = 65536) -> DataFrame:
+    """Rows of the bins that satisfy a condition, with ``run``: the first bin of their run of neighbours (of equal values).
+
+    A bin's predecessor stands in its own chunk, but for a chunk's first bin, whose
+    predecessor is copied in; the run's start is a running maximum by chunks.
+    """
+    rows = df.where(keep).withColumn("_own", F.lit(True))
+    edge = rows.where(F.col("bin") % chunk == chunk - 1).withColumn("_own", F.lit(False))
+    cells = rows.withColumn("_chunk", F.expr(f"bin div {chunk}")).unionByName(edge.withColumn("_chunk", F.expr(f"bin div {chunk}") + 1))
+    w = Window.partitionBy("seqname", "_chunk").orderBy("bin")
     last = F.lag("bin").over(w)
     breaks = last.isNull() | (F.col("bin") != last + 1)
     if value:
-        same = F.lag(value).over(w)
-        breaks = breaks | (F.col(value) != same) | F.isnan(value)
-    return rows.withColumn("run", F.sum(F.when(breaks, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        breaks = breaks | (F.col(value) != F.lag(value).over(w)) | F.isnan(value)
+    found = cells.withColumn("_new", F.when(breaks, F.col("bin"))).where("_own").drop("_own", "_chunk")
+    return running(found, "bin", [F.col("bin")], "_new", "run", largest=True).drop("_new")
 
 
 def runs_to_ranges(track: DataFrame, bin_size: int) -> DataFrame:
     """Run-length ranges of equal values; every NaN bin is a row of its own."""
     runs = islands(track, F.lit(True), "value")
-    out = runs.groupBy("seqname", "run").agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.first("value").alias("value"))
-    return out.select("seqname", (F.col("a") * bin_size).alias("from"), ((F.col("b") + 1) * bin_size).alias("to"), F.lit("*").alias("strand"), "value")
+    out = runs.groupBy("seqname", "run").agg(F.max("bin").alias("b"), F.first("value").alias("value"))
+    return out.select("seqname", (F.col("run") * bin_size).alias("from"), ((F.col("b") + 1) * bin_size).alias("to"), F.lit("*").alias("strand"), "value")
 
 
 def labels(regions: DataFrame, *sets: DataFrame) -> DataFrame:
@@ -95,10 +107,17 @@ def merge_by(df: DataFrame, attribute: str) -> DataFrame:
     return df.where(F.col(attribute) != "").groupBy(F.col(attribute).alias("name"), "seqname").agg(F.min("from").alias("from"), F.max("to").alias("to"), one.alias("strand"))
 
 
-def joint_peaks(zipped: DataFrame, thresholds: list[float], bin_size: int) -> DataFrame:
+def without(df: DataFrame, exclude: DataFrame) -> DataFrame:
+    """Rows that overlap nothing of ``exclude``, for ranges without row ids."""
+    keyed = df.withColumn("row_id", F.struct("seqname", "from", "to"))
+    return anti(keyed, exclude).drop("row_id")
+
+
+def joint_peaks(zipped: DataFrame, thresholds: list[float], bin_size: int, exclude: DataFrame | None = None) -> DataFrame:
     """Maximal runs where every track is above its threshold, with the values at the largest sum; largest first.
 
-    zipped has ``values``, one per track, as zip_tracks makes it.
+    zipped has ``values``, one per track, as zip_tracks makes it. Peaks that overlap
+    ``exclude`` go.
     """
     n = len(thresholds)
     over = F.size("values") == n
@@ -108,8 +127,9 @@ def joint_peaks(zipped: DataFrame, thresholds: list[float], bin_size: int) -> Da
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
     runs = islands(zipped.withColumn("sum", total), over)
     top = F.max_by(F.struct("values", "sum"), F.struct("sum", (-F.col("bin")).alias("b")))
-    peaks = runs.groupBy("seqname", "run").agg(F.min("bin").alias("a"), F.max("bin").alias("b"), top.alias("t"))
-    return peaks.select("seqname", (F.col("a") * bin_size).alias("from"), ((F.col("b") + 1) * bin_size).alias("to"), F.col("t.values").alias("values"), F.col("t.sum").alias("sum")).orderBy(F.desc("sum"))
+    peaks = runs.groupBy("seqname", "run").agg(F.max("bin").alias("b"), top.alias("t"))
+    found = peaks.select("seqname", (F.col("run") * bin_size).alias("from"), ((F.col("b") + 1) * bin_size).alias("to"), F.col("t.values").alias("values"), F.col("t.sum").alias("sum"))
+    return (without(found, exclude) if exclude is not None else found).orderBy(F.desc("sum"))
 
 
 def region_threshold(regions: DataFrame, track: DataFrame, bin_size: int, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -35,12 +35,48 @@ def ranges(df: DataFrame, check: bool = False) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Number rows from 0: by the given order, or as they are read."""
+    """Number rows: from 0 by the given order, or by unique rising numbers as they come."""
     if order:
         return df.withColumn("row_id", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     return df.withColumn("row_id", F.monotonically_increasing_id())
 
 
+def numbered(scan: DataFrame) -> DataFrame:
+    """Rows of a file scan (and row-wise steps on it) with row_id, their position from 0.
+
+    Rows count up within a partition; what lies before a partition comes from the
+    partitions' sizes, a row each. Both reads of a scan have the same partitions; after
+    a shuffle that would not hold, so this is for scans only.
+    """
+    high = 1 << 33
+    marked = scan.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.expr(f"_at div {high}"))
+    sizes = marked.groupBy("_part").agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_first"))
+    placed = marked.join(F.broadcast(starts), "_part")
+    return placed.withColumn("row_id", F.col("_first") + F.col("_at") % high).drop("_at", "_part", "_first")
+
+
+def running(df: DataFrame, at: str, order: list[Column], value: str, name: str, bits: int = 16, largest: bool = False, before: bool = False) -> DataFrame:
+    """df with ``name``: the running sum (largest: maximum) of a column along each sequence, by ``order``.
+
+    ``at`` is the coordinate that ``order`` begins with. It is cut into chunks of
+    2^bits: totals by chunk are combined before the shuffle and run over the chunks of
+    a sequence, a small table; rows run within their chunk and add what lies before
+    it. So no task takes a whole sequence. before: without the row itself (null, or 0,
+    where nothing is before).
+    """
+    combine = F.max if largest else F.sum
+    cell = df.withColumn("_cell", F.shiftright(F.col(at).cast("long"), bits))
+    totals = cell.groupBy("seqname", "_cell").agg(combine(value).alias("_total"))
+    earlier = Window.partitionBy("seqname").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("seqname", "_cell", combine("_total").over(earlier).alias("_offset"))
+    within = Window.partitionBy("seqname", "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    own = combine(value).over(within)
+    both = F.greatest("_offset", own) if largest else F.coalesce("_offset", F.lit(0)) + F.coalesce(own, F.lit(0))
+    return cell.join(offsets, ["seqname", "_cell"]).withColumn(name, both).drop("_cell", "_offset")
+
+
 def meta_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in CORE]
 
