@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,28 +65,40 @@ def cpg_score(sequence: Column) -> Column:
     return F.when(n("cg") > 0, n("cg") * F.length(s) / (n("c") * n("g"))).otherwise(F.lit(0.0))
 
 
+def _places(pattern: str):
+    """Starts and ends of a pattern's matches in each sequence, found in one pass by the regular expression engine."""
+    expression = re.compile(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, stops = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for m in expression.finditer(text or ""):
+                    rows.append(i)
+                    starts.append(m.start())
+                    stops.append(m.end(m.lastindex or 0))
+            names = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.record_batch([names, pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], names=["seqname", "from", "to"])
+
+    return run
+
+
+def _ranges_of(sequences: DataFrame, pattern: str) -> DataFrame:
+    rows = sequences.select(F.col("seqname").cast("string").alias("seqname"), F.col("sequence").cast("string").alias("sequence"))
+    found = rows.mapInArrow(_places(pattern), "seqname string, `from` long, `to` long")
+    return found.withColumn("strand", F.lit("*"))
+
+
 def scan(sequences: DataFrame, query: str) -> DataFrame:
-    """Ranges of all, also overlapping, matches whatever the case."""
-    k = len(query)
-    hit = lambda i: F.substring(F.col("_s"), i + 1, F.lit(k)) == query.lower()
-    starts = F.when(F.length("_s") >= k, F.filter(F.sequence(F.lit(0), F.greatest(F.length("_s") - k, F.lit(0))), hit)).otherwise(F.array().cast("array<int>"))
-    found = sequences.withColumn("_s", F.lower("sequence")).where(F.col("_s").contains(query.lower())).select("seqname", F.explode(starts).alias("at"))
-    return found.select("seqname", F.col("at").cast("long").alias("from"), (F.col("at") + k).cast("long").alias("to"), F.lit("*").alias("strand"))
+    """Ranges of all, also overlapping, matches whatever the case; an empty query matches nowhere."""
+    if not query:
+        return _ranges_of(sequences.limit(0), "x")
+    return _ranges_of(sequences, f"(?i)(?=({re.escape(query)}))")
 
 
 def unresolved(sequences: DataFrame) -> DataFrame:
     """Maximal runs of n."""
-    runs = F.regexp_extract_all("sequence", F.lit("[nN]+"), F.lit(0))
-    gaps = F.split("sequence", "[nN]+", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"])
-        b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
-
-    pairs = F.filter(F.arrays_zip(gaps.alias("g"), runs.alias("m")), lambda x: x["m"].isNotNull())
-    return sequences.select("seqname", F.inline(F.aggregate(pairs, start, step, lambda s: s["out"]))).select("seqname", F.col("a").cast("long").alias("from"), F.col("b").cast("long").alias("to"), F.lit("*").alias("strand"))
+    return _ranges_of(sequences, "[nN]+")
 
 
 def log_add(a: Column, b: Column) -> Column:

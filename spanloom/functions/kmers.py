@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,23 +97,88 @@ def _extend(prefixes: Column, choices: Column) -> Column:
     return F.flatten(F.transform(prefixes, lambda p: F.transform(choices, lambda c: F.concat(p, c))))
 
 
+#: Letters of a sequence that are counted at a time.
+PIECE = 1 << 18
+#: The longest k-mer whose code fits a 64-bit number.
+LONGEST_CODE = 31
+
+_CODE = np.full(256, 4, np.uint8)
+for _i, _x in enumerate(NUCLEOTIDES):
+    _CODE[[ord(_x), ord(_x.upper())]] = _i
+_LETTER = np.frombuffer(NUCLEOTIDES.encode(), np.uint8)
+
+
+def _distinct(codes: np.ndarray, k: int) -> tuple[list[str], np.ndarray]:
+    """The k-mers of acgt in a piece and how often each occurs; codes roll along, so the work is linear."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return [], np.empty(0, np.int64)
+    bad = np.concatenate([[0], np.cumsum(codes > 3)])
+    good = bad[k:] == bad[:-k]
+    if k > LONGEST_CODE:
+        rows = np.lib.stride_tricks.sliding_window_view(codes, k)[good]
+        kinds, counts = np.unique(_LETTER[rows].view(f"S{k}").ravel(), return_counts=True)
+        return [x.decode() for x in kinds], counts
+    rolled = np.zeros(n, np.uint64)
+    for j in range(k):
+        rolled = (rolled << np.uint64(2)) | (codes[j : j + n] & 3).astype(np.uint64)
+    kinds, counts = np.unique(rolled[good], return_counts=True)
+    shifts = np.arange(2 * (k - 1), -1, -2, dtype=np.uint64)
+    letters = _LETTER[((kinds[:, None] >> shifts) & np.uint64(3)).astype(np.uint8)]
+    return [x.decode() for x in np.ascontiguousarray(letters).view(f"S{k}").ravel()], counts
+
+
+def _exact(low: int, high: int):
+    """Batches of (id, sequence) to (id, k, gram, n), by pieces of bounded length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            ks: list[int] = []
+            grams: list[str] = []
+            counts: list[np.ndarray] = []
+
+            def flush(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                total = np.concatenate(counts) if counts else np.empty(0, np.int64)
+                out = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ks, pa.int32()), pa.array(grams, pa.string()), pa.array(total, pa.int64())]
+                return pa.record_batch(out, names=["id", "k", "gram", "n"])
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                codes = _CODE[np.frombuffer((text or "").encode(), np.uint8)]
+                for at in range(0, max(1, len(codes)), PIECE):
+                    for k in range(low, high + 1):
+                        found, n = _distinct(codes[at : at + PIECE + k - 1], k)
+                        rows += [i] * len(found)
+                        ks += [k] * len(found)
+                        grams += found
+                        counts.append(n)
+                if len(rows) > 200_000:
+                    yield flush()
+                    rows, ks, grams, counts = [], [], [], []
+            if rows:
+                yield flush()
+
+    return run
+
+
 def count_kmers(sequences: DataFrame, eq: Equivalence, id_col: str = "seqname", patterns: list[str] | None = None, presence: bool = False) -> DataFrame:
     """id, k, class_id, kmer, n: occurrences of every class; patterns: of those classes only; presence: n is 1.
 
-    K-mers are counted exactly first, with map-side combination, and only the
-    distinct ones of a sequence are generalised. K-mers with other letters than acgt
-    count for nothing.
+    K-mers are counted exactly first, in numpy and then with map-side combination;
+    only the distinct ones of all sequences are generalised to their classes. K-mers
+    with other letters than acgt count for nothing.
     """
+    rows = sequences.select(F.col(id_col).alias("id"), F.col("sequence").cast("string").alias("sequence"))
+    kind = dict(rows.dtypes)["id"]
+    counted = rows.mapInArrow(_exact(eq.n, eq.m), f"id {kind}, k int, gram string, n long")
+    exact = counted.groupBy("id", "k", "gram").agg(F.sum("n").alias("n"))
+    grams = counted.select("k", "gram").distinct()
     parts = []
     for k in range(eq.n, eq.m + 1):
-        s = F.lower("sequence")
-        grams = F.when(F.length(s) >= k, _grams(s, k)).otherwise(F.array().cast("array<string>"))
-        exact = sequences.select(F.col(id_col).alias("id"), F.explode(grams).alias("gram")).where(F.col("gram").rlike("^[acgt]+$")).groupBy("id", "gram").agg(F.count("*").alias("n"))
-        wide = exact.select("id", "n", F.explode(F.array_distinct(F.transform(_generalise(F.col("gram"), k, eq.alphabet), lambda p: canonical(p, eq)))).alias("c"))
-        parts.append(wide.groupBy("id", F.lit(k).alias("k"), F.col("c.id").alias("class_id"), F.col("c.kmer").alias("kmer")).agg(F.sum("n").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        forms = F.array_distinct(F.transform(_generalise(F.col("gram"), k, eq.alphabet), lambda p: canonical(p, eq)))
+        parts.append(grams.where(F.col("k") == k).select("k", "gram", F.explode(forms).alias("c")))
+    classes = reduce(DataFrame.unionByName, parts).select("k", "gram", F.col("c.id").alias("class_id"), F.col("c.kmer").alias("kmer"))
+    out = exact.join(classes, ["k", "gram"]).groupBy("id", "k", "class_id", "kmer").agg(F.sum("n").alias("n"))
     if any(a >= 0 for a in eq.max_ambiguous):
         most = F.create_map(*[v for k in range(eq.n, eq.m + 1) for v in (F.lit(k), F.lit(eq.ambiguous(k)))])
         out = out.where((most[F.col("k")] < 0) | (F.length(F.regexp_replace("kmer", "[acgt]", "")) <= most[F.col("k")]))
@@ -119,10 +188,6 @@ def count_kmers(sequences: DataFrame, eq: Equivalence, id_col: str = "seqname",
     return out.withColumn("n", F.lit(1).cast("long")) if presence else out
 
 
-def _grams(s: Column, k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))
-
-
 def catalogue(counts: DataFrame) -> DataFrame:
     """The distinct classes, in order."""
     return counts.select("k", "class_id", "kmer").distinct().orderBy("k", "class_id")
@@ -142,6 +207,32 @@ def sparse_text(counts: DataFrame) -> DataFrame:
     return counts.groupBy("id").agg(F.array_join(F.transform(x, lambda v: v["t"]), ",").alias("text"))
 
 
+def human_text(counts: DataFrame) -> DataFrame:
+    """id and text: name=count of every class of the catalogue, in order, 0 where a sequence lacks it."""
+    names = catalogue(counts).agg(F.array_sort(F.collect_list(F.struct("k", "class_id", "kmer"))).alias("names"))
+    both = dense(counts).crossJoin(F.broadcast(names))  # one row
+    cells = F.zip_with("names", "counts", lambda c, n: F.concat_ws("=", c["kmer"], n))
+    return both.select("id", F.array_join(cells, ",").alias("text"))
+
+
+def sequence_similarity(reference: DataFrame, sequences: DataFrame, eq: Equivalence, width: int, step: int = -1, measure: str = "cosine", binary: bool = False) -> DataFrame:
+    """row_id, similarities: of windows as wide as the reference, every ``step`` bases (-1: a tenth of the width).
+
+    A sequence that is not longer than the reference has none; a window without any
+    class in common has 0 or, for the cosine of nothing, NaN.
+    """
+    step = max(1, width // 10) if step == -1 else step
+    last = F.length("sequence") - width - step
+    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    cut = sequences.select("row_id", "sequence", F.explode(starts).alias("at"))
+    each = cut.select(F.struct("row_id", "at").alias("seqname"), F.expr(f"substring(sequence, at + 1, {width})").alias("sequence"))
+    own = count_kmers(reference.select(F.lit("reference").alias("seqname"), "sequence"), eq, presence=binary)
+    found = similarity(own.select("k", "class_id", "n"), count_kmers(each, eq, presence=binary), measure)
+    every = each.select(F.col("seqname").alias("id")).join(found, "id", "left").withColumn("value", F.coalesce("value", F.lit(float("nan") if measure == "cosine" else 0.0)))
+    listed = every.groupBy(F.col("id.row_id").alias("row_id")).agg(F.array_sort(F.collect_list(F.struct("id.at", "value"))).alias("x"))
+    return listed.select("row_id", F.transform("x", lambda v: v["value"]).alias("similarities"))
+
+
 def matches(a: str, b: str) -> bool:
     """Whether a occurs in the longer b at some offset with its bases containing b's."""
     for off in range(len(b) - len(a) + 1):

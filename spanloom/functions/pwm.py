@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .dna import NUCLEOTIDES, encode, log_add, reverse_complement
+from ..operators.stats import bin_statistic
+from .dna import NUCLEOTIDES, encode
 
 Matrix = list[list[float]]  # rows a, c, g, t
 
@@ -65,21 +70,94 @@ def mean_score(values: Column) -> Column:
     return F.when(top.isNull(), F.lit(float("-inf"))).otherwise(F.log(total) - F.log(F.size(values).cast("double")))
 
 
+_CODES = np.full(256, 4, np.uint8)
+for _i, _x in enumerate(NUCLEOTIDES):
+    _CODES[[ord(_x), ord(_x.upper())]] = _i
+
+
+def score_array(sequence: str, matrix: np.ndarray) -> np.ndarray:
+    """The score at every start; matrix has a fifth row of zeros for other letters; empty if the sequence is too short."""
+    codes = _CODES[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
+    n = len(codes) - matrix.shape[1] + 1
+    out = np.zeros(max(n, 0))
+    for j, column in enumerate(matrix.T if n > 0 else ()):
+        out += column[codes[j : j + n]]
+    return out
+
+
+def _padded(matrix: Matrix) -> np.ndarray:
+    return np.vstack([np.array(matrix, float), np.zeros(len(matrix[0]))])
+
+
+def _log_mean(values: np.ndarray) -> float:
+    if not len(values):
+        return -math.inf
+    top = values.max()
+    return -math.inf if top == -math.inf else float(top + np.log(np.exp(values - top).mean()))
+
+
+def _both_strands(sequence: str, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the sequence, and of its reverse complement in the order of the starts on it.
+
+    The reverse complement meets the matrix as the sequence meets the reversed and
+    complemented matrix, whose scores come from its end.
+    """
+    turned = np.vstack([matrix[3::-1, ::-1], matrix[4:, ::-1]])
+    return score_array(sequence, matrix), score_array(sequence, turned)[::-1]
+
+
+def region_scores(regions: DataFrame, matrices: list[Matrix], mean: bool = False, both: bool = True, column: str = "bases") -> DataFrame:
+    """regions with ``counts``: for each matrix the largest score (mean: the log of the mean of the exponentials).
+
+    Over both strands, or the given one only; -inf where the sequence is shorter than
+    the matrix or null. The matrices go to the tasks as arrays, whatever their number.
+    """
+    tables = [_padded(m) for m in matrices]
+    at = regions.columns.index(column)
+
+    def one(text: str, table: np.ndarray) -> float:
+        sides = _both_strands(text, table) if both else (score_array(text, table),)
+        if mean:
+            each = [_log_mean(x) for x in sides]
+            return float(np.logaddexp.reduce(each) - math.log(len(each)))
+        return float(max(x.max(initial=-math.inf) for x in sides))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[one(t or "", m) for m in tables] for t in batch.column(at).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names, "counts"])
+
+    plain = regions.drop("counts") if "counts" in regions.columns and column != "counts" else regions
+    at = plain.columns.index(column)
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("counts", ArrayType(DoubleType()))]))
+
+
 def scan_regions(regions: DataFrame, matrices: list[Matrix], mean: bool = False, column: str = "bases") -> DataFrame:
     """regions with ``counts``: a score for each matrix, over both strands."""
-    out = []
-    for m in matrices:
-        forward, reverse = scores(F.col(column), m), scores(reverse_complement(F.col(column)), m)
-        out.append(log_add(mean_score(forward), mean_score(reverse)) - math.log(2) if mean else F.greatest(max_score(forward), max_score(reverse)))
-    return regions.withColumn("counts", F.array(*out))
+    return region_scores(regions, matrices, mean, True, column)
 
 
 def scan_sequences(sequences: DataFrame, matrix: Matrix, bin_size: int, statistic: str = "max") -> DataFrame:
-    """A track of the larger strand score of the starts in a bin (max or mean)."""
-    both = sequences.select("seqname", scores(F.col("sequence"), matrix).alias("f"), F.reverse(scores(reverse_complement(F.col("sequence")), matrix)).alias("r"))
-    starts = both.select("seqname", F.posexplode(F.zip_with("f", "r", lambda a, b: F.greatest(a, b))).alias("at", "v"))
-    f = {"max": F.max, "mean": F.avg, "min": F.min}[statistic]
-    return starts.groupBy("seqname", F.expr(f"at div {bin_size}").cast("long").alias("bin")).agg(f("v").alias("value"))
+    """A track of the larger strand score of the starts in a bin, by any bin statistic."""
+    table = _padded(matrix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for name, text in zip(names, batch.column(1).to_pylist(), strict=True):
+                forward, reverse = _both_strands(text or "", table)
+                best = np.maximum(forward, reverse[::-1])
+                cut = np.arange(0, len(best), bin_size)
+                if not len(cut):
+                    continue
+                moments = [np.add.reduceat(x, cut) for x in (np.ones(len(best)), best, best * best)]
+                ends = [f.reduceat(best, cut) for f in (np.minimum, np.maximum)]
+                columns = [pa.array([name] * len(cut), pa.string()), pa.array(cut // bin_size, pa.int64()), *[pa.array(x, pa.float64()) for x in (*moments, *ends)]]
+                yield pa.record_batch(columns, names=["seqname", "bin", "n", "sum", "sum_sq", "min", "max"])
+
+    rows = sequences.select(F.col("seqname").cast("string").alias("seqname"), "sequence")
+    found = rows.mapInArrow(run, "seqname string, bin long, n double, sum double, sum_sq double, min double, max double")
+    return found.select("seqname", "bin", bin_statistic(statistic).alias("value"))
 
 
 def motifs(xml: str, alpha: float = 0.0, log: bool = True, max_evalue: float | None = None) -> list[tuple[str, Matrix]]:
