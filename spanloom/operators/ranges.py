@@ -52,6 +52,7 @@ def remove(df: DataFrame, indices: list[int]) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, start: int, stop: int) -> DataFrame:
+    """Rows from position start up to stop; row_id is the position, as readers and constructors number it."""
     return df.where((F.col("row_id") >= max(0, start)) & (F.col("row_id") < stop))
 
 
@@ -118,6 +119,12 @@ def reduce_list(df: DataFrame, column: str, name: str, f: Callable[[Column], Col
     return add_meta(df, name, f(F.col(f"`{column}`")))
 
 
+def by_rank(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with a row_id that rises along an order (with gaps, as a sorted table's partitions count on their own)."""
+    plain = df.drop("row_id") if "row_id" in df.columns else df
+    return plain.orderBy(*order).withColumn("row_id", F.monotonically_increasing_id())
+
+
 def permute(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id")
 

@@ -24,6 +24,17 @@ def to_reads(df: DataFrame) -> DataFrame:
     return df.select("seqname", "from", "to", "strand", q.alias("mapq"), dup.alias("duplicate"), F.lit(False).alias("paired"))
 
 
+def mates(alignments: DataFrame) -> DataFrame:
+    """name, pair, e: consecutive occurrences of a name two by two, in the order of position.
+
+    A name's occurrences are few in sound files; a name that occurs without bound
+    is sorted by the engine, which spills, and its pairs are rows of their own.
+    """
+    numbered = alignments.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("pos", "flag")) - 1)
+    cells = F.collect_list(F.struct("pos", "flag", "length", "mapq", "seqname"))
+    return numbered.groupBy("name", F.expr("n div 2").alias("pair")).agg(F.array_sort(cells).alias("e"))
+
+
 def join_mates(alignments: DataFrame, strand_specific: bool = False, pairs: bool = True) -> DataFrame:
     """Reads from alignments (name, seqname, pos, length, flag, mapq): proper pairs joined, other mapped ends alone.
 
@@ -35,8 +46,7 @@ def join_mates(alignments: DataFrame, strand_specific: bool = False, pairs: bool
     if not pairs:
         return single(a)
     proper = flag("flag", "proper_pair") & flag("flag", "paired") & ~flag("flag", "secondary")
-    numbered = a.where(proper).withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("pos", "flag")) - 1)
-    ends = numbered.groupBy("name", F.expr("n div 2").alias("pair")).agg(F.array_sort(F.collect_list(F.struct("pos", "flag", "length", "mapq", "seqname"))).alias("e"))
+    ends = mates(a.where(proper))
     b1, b2 = F.col("e")[0], F.get("e", F.lit(1))
     both = (F.size("e") == 2) & (b1["seqname"] == b2["seqname"])
     bit = lambda b, name: b["flag"].bitwiseAND(1 << FLAGS.index(name)) != 0

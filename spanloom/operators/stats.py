@@ -141,13 +141,17 @@ def read_cross_correlation(reads: DataFrame, genome: DataFrame, max_delay: int,
 
 
 def fragment_length(correlation: DataFrame, low: int, high: int) -> int:
-    """The lag of the highest strict local maximum in [low, high)."""
+    """The lag of the highest strict local maximum in [low, high); an error if the last lag is higher still."""
     w = Window.orderBy("lag")  # a row for each lag
-    peaks = correlation.withColumns({"b": F.lag("value").over(w), "n": F.lead("value").over(w)}).where("value > b and value > n and value > 0").where((F.col("lag") >= low) & (F.col("lag") < high))
-    best = peaks.agg(F.max_by("lag", F.struct("value", (-F.col("lag")).alias("l"))).alias("lag")).first()["lag"]
-    if best is None:
+    beside = correlation.withColumns({"b": F.lag("value").over(w), "n": F.lead("value").over(w)})
+    peak = (F.col("value") > F.col("b")) & (F.col("value") > F.col("n")) & (F.col("value") > 0) & (F.col("lag") >= low) & (F.col("lag") < high)
+    key = F.when(peak, F.struct("value", (-F.col("lag")).alias("l"), "lag"))
+    best = beside.agg(F.max(key).alias("top"), F.max_by("value", "lag").alias("last")).first()
+    if best["top"] is None:
         raise ValueError("no local maximum")
-    return best
+    if best["top"]["value"] < best["last"]:
+        raise ValueError("the longest delay is too small: the correlation still rises there")
+    return best["top"]["lag"]
 
 
 def bbi_summary(records: DataFrame, bin_size: int) -> DataFrame:

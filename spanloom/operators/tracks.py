@@ -115,6 +115,23 @@ def map_python(track: DataFrame, spec: str) -> DataFrame:
     return track.withColumn("value", call("seqname", "bin", "value"))
 
 
+def map_python_list(tracks: list[DataFrame], spec: str, bin_size: int) -> DataFrame:
+    """``module:function`` f(seqname, position, *values) over the bins that every track has, called per bin in Arrow batches."""
+    import importlib
+
+    import pandas as pd
+
+    module, _, name = spec.partition(":")
+
+    @F.pandas_udf("double")
+    def call(seqname: pd.Series, position: pd.Series, values: pd.Series) -> pd.Series:
+        f = getattr(importlib.import_module(module), name)
+        return pd.Series([f(s, p, *v) for s, p, v in zip(seqname, position, values, strict=True)], dtype="float64")
+
+    zipped = zip_tracks(tracks).where(F.size("values") == len(tracks))
+    return zipped.select("seqname", "bin", call("seqname", F.col("bin") * bin_size, "values").alias("value"))
+
+
 def reduce_track(track: DataFrame, start: Column, f: Callable[[Column, Column], Column]) -> DataFrame:
     """Left fold over each sequence's bins in order. The fold is sequential by nature: a sequence is one row."""
     listed = track.groupBy("seqname").agg(F.array_sort(F.collect_list(F.struct("bin", "value"))).alias("x"))
@@ -124,32 +141,33 @@ def reduce_track(track: DataFrame, start: Column, f: Callable[[Column, Column],
 def smooth(track: DataFrame, min_count: float, sizes: list[int], genome: DataFrame, bin_size: int, chunk: int = CHUNK) -> DataFrame:
     """Adaptive smoothing of a dense track: the mean of the smallest window with at least min_count, else of the largest.
 
-    Windows shift inside at the borders. Sums come from running sums within chunks
-    that are widened by the largest window.
+    Windows shift inside at the borders. Sums slide over fixed frames within chunks
+    that are widened by the largest window; a border window has the sum of the first
+    or last window inside, whose centre lies in the same widened chunk.
     """
     sizes = sorted(sizes)
     reach = max(sizes)
     halo = with_halo(track, reach, reach, chunk).join(bins_of(genome, bin_size), "seqname")
-    run = Window.partitionBy("seqname", "chunk").orderBy("bin")
     halo = halo.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    run = Window.partitionBy("seqname", "chunk").orderBy("bin")
     out = None
     for w in reversed(sizes):
-        low = F.col("bin") - w // 2
-        start = F.greatest(F.lit(0), F.least(low, F.col("n_bins") - w))
-        # the frame's offset differs only at the borders: sum over the widest frame that any position needs
-        frame = run.rangeBetween(-reach, reach)
-        cells = F.collect_list(F.struct("bin", "value")).over(frame)
-        total = F.aggregate(_inside(cells, start, w), F.lit(0.0), lambda a, c: a + c["value"])
-        halo = halo.withColumn(f"_s{w}", total)
+        # centred windows begin at bin - w/2: the frame is fixed, as the engine can slide it
+        total = F.sum("value").over(run.rangeBetween(-(w // 2), w - 1 - w // 2))
+        halo = halo.withColumn(f"_c{w}", total)
+        low = F.col(f"_c{w}")
+        inner = (F.col("bin") >= w // 2) & (F.col("bin") - w // 2 + w <= F.col("n_bins"))
+        # the first and the last window that lie inside stand for those beyond
+        every = Window.partitionBy("seqname", "chunk")
+        head = F.max(F.when(F.col("bin") == F.least(F.lit(w // 2), F.col("n_bins") - 1), low)).over(every)
+        tail = F.max(F.when(F.col("bin") == F.col("n_bins") - w + w // 2, low)).over(every)
+        shifted = F.when(inner, low).when(F.col("n_bins") < w, F.sum("value").over(run.rangeBetween(-w, w))).when(F.col("bin") < w // 2, head).otherwise(tail)
+        halo = halo.withColumn(f"_s{w}", shifted)
         mean = F.col(f"_s{w}") / F.lit(float(w))
         out = mean if out is None else F.when(F.col(f"_s{w}") >= min_count, mean).otherwise(out)
     return halo.withColumn("value", out).where("own").select("seqname", "bin", "value")
 
 
-def _inside(cells: Column, start: Column, width: int) -> Column:
-    return F.filter(cells, lambda c: (c["bin"] >= start) & (c["bin"] < start + width))
-
-
 def normalize(treatment: DataFrame, control: DataFrame, c1: float, c2: float, log: bool = False) -> DataFrame:
     """(t + c1) / (c + c2) * c2 / c1; sequences that the control lacks stay as they are."""
     if c1 <= 0 or c2 <= 0:

@@ -10,19 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import ranges
+from ..schema import numbered, ranges
+
+
+def _data() -> Column:
+    """Lines that are neither blank nor a comment, nor a track or browser line."""
+    return (F.trim("value") != "") & ~F.col("value").rlike("^(#|track|browser)")
 
 
 def _fields(spark: SparkSession, path: str, separator: str = r"\s+") -> DataFrame:
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.monotonically_increasing_id().alias("row_id"), F.split(F.trim("value"), separator).alias("f"), "value")
+    lines = numbered(spark.read.text(path).where(_data()))
+    return lines.select("row_id", F.split(F.trim("value"), separator).alias("f"), "value")
 
 
 def _f(i: int, kind: str = "string") -> Column:
     return F.get("f", F.lit(i)).cast(kind)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Numbered lines of whole files: for formats whose headers hold for the lines below."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
@@ -32,7 +37,7 @@ def read_bed(spark: SparkSession, path: str, columns: int = 6) -> DataFrame:
     """BED3, BED6 or BED9."""
     if columns not in (3, 6, 9):
         raise ValueError("BED files have 3, 6 or 9 columns")
-    rows = _fields(spark, path).where(~F.col("value").startswith("track") & ~F.col("value").startswith("browser") & ~F.col("value").startswith("#"))
+    rows = _fields(spark, path)
     rows = rows.where(F.when(F.size("f") >= columns, True).otherwise(F.raise_error(F.lit(f"a line has fewer than {columns} columns")).cast("boolean")))
     out = rows.select("row_id", _f(0).alias("seqname"), _f(1, "long").alias("from"), _f(2, "long").alias("to"), "f")
     if columns == 3:
@@ -54,13 +59,18 @@ def _or(df: DataFrame, name: str, default: Column) -> Column:
     return F.coalesce(F.col(name).cast("string"), default.cast("string")) if name in df.columns else default.cast("string")
 
 
-def write_bed(df: DataFrame, path: str, columns: int = 6, compress: bool = False) -> None:
+def bed_line(df: DataFrame, columns: int = 6) -> Column:
+    """The line of each row."""
     parts = [F.col("seqname"), F.col("from").cast("string"), F.col("to").cast("string")]
     if columns >= 6:
         parts += [_or(df, "name", F.lit(".")), _or(df, "score", F.lit(0)), F.when(F.col("strand") == "*", ".").otherwise(F.col("strand"))]
     if columns == 9:
         parts += [_or(df, "thickStart", F.col("from")), _or(df, "thickEnd", F.col("to")), _or(df, "itemRgb", F.lit("0,0,0"))]
-    _text(df, F.concat_ws("\t", *parts), path, compress)
+    return F.concat_ws("\t", *parts)
+
+
+def write_bed(df: DataFrame, path: str, columns: int = 6, compress: bool = False) -> None:
+    _text(df, bed_line(df, columns), path, compress)
 
 
 def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
@@ -118,8 +128,11 @@ def write_wig(track: DataFrame, path: str, bin_size: int, name: str = "track", c
 
 def read_gtf(spark: SparkSession, path: str, attributes: dict[str, str] | None = None, defaults: dict[str, object] | None = None, one_based: bool = False) -> DataFrame:
     """GTF: source, feature, score, frame and the asked attributes by type; coordinates verbatim unless one_based."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    rows = lines.select(F.monotonically_increasing_id().alias("row_id"), F.split("value", "\t").alias("f"))
+    lines = numbered(spark.read.text(path).where(_data()))
+    # separators count outside double quotes only
+    fields = F.regexp_extract_all("value", F.lit(r'(?:^|\t)((?:"[^"]*"|[^\t"])*)'), F.lit(1))
+    rows = lines.select("row_id", fields.alias("f"))
+    rows = rows.where(F.when(F.size("f") >= 9, True).otherwise(F.raise_error(F.lit("a GTF line has 9 columns")).cast("boolean")))
     start = _f(3, "long") - (1 if one_based else 0)
     out = rows.select("row_id", _f(0).alias("seqname"), start.alias("from"), _f(4, "long").alias("to"), F.when(_f(6) == ".", "*").otherwise(_f(6)).alias("strand"), _f(1).alias("source"), _f(2).alias("feature"), F.when(_f(5) == ".", "0").otherwise(_f(5)).cast("double").alias("score"), F.when(_f(7) == ".", "-1").otherwise(_f(7)).cast("int").alias("frame"), _f(8).alias("_a"))
     for name, kind in (attributes or {}).items():
@@ -162,15 +175,25 @@ def read_table(spark: SparkSession, path: str, types: dict[str, str] | None = No
     return ranges(rows.select(*cols)) if {"seqname", "from", "to"} <= set(keys) else rows.select(*cols)
 
 
-def write_table(df: DataFrame, path: str, header: bool = True, strand: bool = True, compress: bool = False) -> None:
-    """Right-aligned columns: seqnames, from, to, strand, metadata; list cells by comma, empty lists as nil."""
+def table_lines(df: DataFrame, header: bool = True, strand: bool = True, scientific: bool = False) -> DataFrame:
+    """row_id, line: right-aligned columns seqnames, from, to, strand, metadata; list cells by comma, empty lists as nil.
+
+    scientific: floating point cells as d.ddddddE+dd.
+    """
+    def shown(c: Column, kind: str) -> Column:
+        return F.format_string("%e", c) if scientific and kind in ("double", "float") else c.cast("string")
+
     cells = {"seqnames": F.col("seqname"), "from": F.col("from").cast("string"), "to": F.col("to").cast("string")}
     if strand:
         cells["strand"] = F.col("strand")
     for name, kind in df.dtypes:
         if name not in ("row_id", "seqname", "from", "to", "strand"):
             c = F.col(f"`{name}`")
-            cells[name] = F.when(F.size(c) == 0, "nil").otherwise(F.array_join(c.cast("array<string>"), ",")) if kind.startswith("array") else c.cast("string")
+            if kind.startswith("array"):
+                inner = F.transform(c, lambda x: shown(x, kind[6:-1]))  # noqa: B023
+                cells[name] = F.when(F.size(c) == 0, "nil").otherwise(F.array_join(inner, ","))
+            else:
+                cells[name] = shown(c, kind)
     body = df.select("row_id", *[v.alias(f"c{i}") for i, v in enumerate(cells.values())])
     widest = body.agg(*[F.coalesce(F.max(F.length(f"c{i}")), F.lit(0)) for i in range(len(cells))]).first()
     width = [max(len(n), w) for n, w in zip(cells, widest, strict=True)]
@@ -179,7 +202,12 @@ def write_table(df: DataFrame, path: str, header: bool = True, strand: bool = Tr
     if header:
         top = " ".join(n.rjust(w) for n, w in zip(cells, width, strict=True))
         out = out.unionByName(df.sparkSession.createDataFrame([(-1, top)], "row_id long, line string"))
-    _text(out, F.col("line"), path, compress, one_file=True, order=["row_id"])
+    return out
+
+
+def write_table(df: DataFrame, path: str, header: bool = True, strand: bool = True, compress: bool = False) -> None:
+    """The lines of ``table_lines`` in the rows' order."""
+    _text(table_lines(df, header, strand), F.col("line"), path, compress, one_file=True, order=["row_id"])
 
 
 def read_genome(spark: SparkSession, path: str) -> DataFrame:
@@ -189,11 +217,12 @@ def read_genome(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """idx, seqname, sequence: one entry a record, cut at the > by the reader itself."""
-    entries = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    # a record begins at a > that begins a line: a reader's cut elsewhere, as within a header, would split it
+    entries = spark.read.text(path, lineSep="\n>").withColumn("value", F.regexp_replace("value", r"^>", "")).where(F.trim("value") != "")
     parts = F.split("value", r"\r?\n", 2)
     name = F.split(parts[0], r"[ |]")[0]
     named = F.when(F.trim(name) != "", name).otherwise(F.raise_error(F.lit("an entry has no name")))
-    return entries.select(F.monotonically_increasing_id().alias("idx"), named.alias("seqname"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s+", "").alias("sequence"))
+    return numbered(entries).select(F.col("row_id").alias("idx"), named.alias("seqname"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s+", "").alias("sequence"))
 
 
 def write_fasta(df: DataFrame, path: str, compress: bool = False) -> None:
@@ -208,6 +237,7 @@ def read_genes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_genes(df: DataFrame, path: str, compress: bool = False) -> None:
+    """The file that read_genes reads: name, sequence, strand, transcription and coding ranges."""
     _text(df, F.concat_ws("\t", "names", "seqname", "strand", F.col("from").cast("string"), F.col("to").cast("string"), F.col("cds.from").cast("string"), F.col("cds.to").cast("string")), path, compress)
 
 
@@ -236,7 +266,13 @@ PEAK_COLUMNS = ["chr", "start", "end", "length", "abs_summit", "pileup", "-log10
 
 def read_peaks(spark: SparkSession, path: str) -> DataFrame:
     """Peaks: the end is inclusive, so to = end + 1; length and name are dropped."""
-    rows = _fields(spark, path).where(~F.col("value").startswith("#")).where(_f(1) != "start")
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    split = lambda df: df.withColumn("f", F.split(F.trim("value"), r"\s+"))
+    head = split(lines).where(_f(1) == "start").select("f").first()  # the files' header lines are alike
+    if head is None or list(head[0]) != PEAK_COLUMNS:
+        raise ValueError("a peak table has the header " + " ".join(PEAK_COLUMNS))
+    rows = split(numbered(lines.where(~F.col("value").rlike(r"^\s*chr\s+start\s"))))
+    rows = rows.where(F.when(F.size("f") == len(PEAK_COLUMNS), True).otherwise(F.raise_error(F.lit("a peak has 10 columns")).cast("boolean")))
     return ranges(rows.select("row_id", _f(0).alias("seqname"), _f(1, "long").alias("from"), (_f(2, "long") + 1).alias("to"), *[_f(i, "double").alias(PEAK_COLUMNS[i]) for i in (4, 5, 6, 7, 8)]))
 
 
@@ -256,11 +292,31 @@ def read_fpkm(spark: SparkSession, path: str, genes: DataFrame) -> DataFrame:
     return genes.join(sums, "names", "left").withColumn("expr", F.coalesce("expr", F.lit(0.0)))
 
 
-def read_chromatin_states(spark: SparkSession, path: str) -> DataFrame:
-    """Track from tables of one value a line: the first line names cell and sequence, the second is a header."""
-    lines = _lines(spark, path)
-    names = lines.where("n = 0").select("file", F.get(F.split(F.trim("line"), r"\s+"), F.lit(1)).alias("seqname"))
-    return lines.where("n > 1").where(F.trim("line") != "").join(names, "file").select("seqname", (F.col("n") - 2).cast("long").alias("bin"), F.trim("line").cast("double").alias("value"))
+def read_chromatin_states(spark: SparkSession, path: str | list[str], column: str | None = None) -> DataFrame:
+    """Track from tables with a row a bin: the first line names cell and sequence, the second the columns.
+
+    column: the column to take; by default the first.
+    """
+    lines = _lines(spark, path).where(F.trim("line") != "").withColumn("f", F.split(F.trim("line"), r"\s+"))
+    heads = lines.where("n = 0").select("file", _f(1).alias("seqname"))
+    place = F.array_position("f", F.lit(column)) if column else F.lit(1).cast("long")
+    found = F.when(place > 0, place).otherwise(F.raise_error(F.lit(f"no column {column}")).cast("long"))
+    columns = lines.where("n = 1").select("file", found.cast("int").alias("at"))
+    rows = lines.where("n > 1").join(F.broadcast(heads), "file").join(F.broadcast(columns), "file")  # a row a file
+    return rows.select("seqname", (F.col("n") - 2).cast("long").alias("bin"), F.element_at("f", F.col("at")).cast("double").alias("value"))
+
+
+def read_meta(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
+    """A table without ranges: row_id and the named columns by their types; a column that is missing is an error."""
+    lines = _lines(spark, path).where(F.trim("line") != "")
+    head = lines.where("n = 0").select("line").first()
+    names = head[0].split() if head else []
+    missing = [n for n in types if n not in names]
+    if missing:
+        raise ValueError(f"the table has no column {missing[0]}")
+    rows = lines.where("n > 0").withColumn("f", F.split(F.trim("line"), r"\s+"))
+    rows = rows.where(F.when(F.size("f") == len(names), True).otherwise(F.raise_error(F.lit("a row has not as many columns as the header")).cast("boolean")))
+    return rows.select((F.col("n") - 1).cast("long").alias("row_id"), *[_cell(_f(names.index(n)), kind).alias(n) for n, kind in types.items()])
 
 
 def write_segmentation(df: DataFrame, path: str, colours: dict[str, str], compress: bool = False) -> None:
