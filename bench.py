@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from spanloom.plans import queries as core
+from spanloom.plans import registry as core
 from spanloom.session import local_session, ship_package
 
 HEADLINE = ["overlap_counts", "semi_join", "anti_join", "intersection", "merge", "nearest", "coverage_simple", "coverage_mean_overlap", "chip_normalize", "smoothen", "quantile_normalize", "cross_correlation", "run_lengths", "window_map", "kmer_counts", "pwm_max", "sequence_scan"]

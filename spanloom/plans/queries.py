@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna, kmers, pwm
@@ -55,13 +55,17 @@ def intersection(spark, d):
     return joins.intersection(t.queries(spark, d), t.subjects(spark, d)).select("row_id", "s_id", F.col("from").alias("start"), F.col("to").alias("stop"), "strand")
 
 
-@query(f"""WITH q AS (SELECT * FROM {t.QUERIES} WHERE seqname = 'chr1'), s AS {t.SUBJECTS},
-p AS (SELECT q.row_id AS q_id, s.row_id AS s_id, CASE WHEN s.f <= q.t AND s.t >= q.f THEN 0 WHEN s.t < q.f THEN q.f - s.t ELSE q.t - s.f END AS distance
-  FROM q JOIN s USING (seqname)),
-r AS (SELECT *, row_number() OVER (PARTITION BY q_id, distance = 0 ORDER BY abs(distance), distance DESC, s_id) AS r FROM p)
-SELECT q_id, s_id, distance FROM r WHERE distance = 0 OR r <= 3""")
+@query(f"""WITH q AS {t.QUERIES}, s AS {t.SUBJECTS},
+e AS (SELECT *, row_number() OVER (PARTITION BY seqname ORDER BY t, row_id DESC) AS n FROM s), eu AS (SELECT seqname, t AS p, max(n) AS n FROM e GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY seqname ORDER BY f, row_id) AS n FROM s), bu AS (SELECT seqname, f AS p, min(n) AS n FROM b GROUP BY ALL),
+lq AS (SELECT q.*, eu.n FROM q ASOF JOIN eu ON q.seqname = eu.seqname AND q.f > eu.p), rq AS (SELECT q.*, bu.n FROM q ASOF JOIN bu ON q.seqname = bu.seqname AND q.t < bu.p),
+near AS (
+  SELECT lq.row_id AS q_id, e.row_id AS s_id, lq.f - e.t AS distance FROM lq, (SELECT unnest([0, 1, 2]) AS i) JOIN e ON e.seqname = lq.seqname AND e.n = lq.n - i
+  UNION ALL SELECT rq.row_id, b.row_id, rq.t - b.f FROM rq, (SELECT unnest([0, 1, 2]) AS i) JOIN b ON b.seqname = rq.seqname AND b.n = rq.n + i),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY abs(distance), distance DESC, s_id) AS r FROM near)
+SELECT q_id, s_id, distance FROM r WHERE r <= 3
+UNION ALL SELECT q.row_id, s.row_id, 0 FROM q JOIN s ON q.seqname = s.seqname AND s.f <= q.t AND s.t >= q.f""")
 def nearest(spark, d):
-    # all orders are asked; the SQL above looks at chr1 alone, so the two agree on chr1's queries only
     return joins.nearest(t.queries(spark, d), t.subjects(spark, d), 3)
 
 
@@ -87,12 +91,6 @@ def filter_strand(spark, d):
     return ranges.filter_strand(t.subjects(spark, d), "-").select("row_id")
 
 
-@query(f"WITH s AS {t.SUBJECTS} SELECT row_id, CAST(row_number() OVER (ORDER BY length(seqname), seqname, f, t, row_id) AS INTEGER) AS place FROM s")
-def sort_ranges(spark, d):
-    w = Window.orderBy(F.length("seqname"), "seqname", "from", "to", "row_id")
-    return t.subjects(spark, d).select("row_id", F.row_number().over(w).alias("place"))
-
-
 @query(f"""WITH q AS (SELECT * FROM {t.QUERIES} WHERE strand <> '*'),
 p AS (SELECT row_id, seqname, strand, name, CASE strand WHEN '+' THEN f - 200 ELSE t - 1 - 50 END AS start, CASE strand WHEN '+' THEN f + 51 ELSE t - 1 + 201 END AS stop FROM q)
 SELECT min(row_id) AS row_id, seqname, start, stop, arg_min(strand, row_id) AS strand, string_agg(name, ',' ORDER BY row_id) AS names FROM p GROUP BY seqname, start, stop""")
@@ -201,11 +199,6 @@ def quantile_normalize(spark, d):
     return stats.quantile_normalize(own, _dense_track(spark, d))
 
 
-@query(f"""WITH v AS {t.VECTORS} SELECT seqname, bin // 8 AS bin, round(sum(value * value) / count(*) - (sum(value) / count(*)) ^ 2, 6) AS value FROM v GROUP BY 1, 2""")
-def bin_statistics(spark, d):
-    return stats.rebin(t.vector_track(spark, d), 8, "variance").withColumn("value", F.round("value", 6))
-
-
 @query(f"""WITH v AS {t.VECTORS} SELECT seqname, bin, round(max(value) OVER (PARTITION BY seqname ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS value FROM v""")
 def window_map(spark, d):
     top = lambda a: F.array_max(F.filter(a, lambda x: ~F.isnan(x)))
@@ -226,12 +219,13 @@ def run_lengths(spark, d):
     return intervals.runs_to_ranges(_dense_track(spark, d), 100).select("seqname", F.col("from").alias("start"), F.col("to").alias("stop"), "value")
 
 
-@query(f"""WITH {_DENSE}, k AS (SELECT *, bin - row_number() OVER (PARTITION BY seqname ORDER BY bin) AS run FROM dense WHERE p > 0 AND m > 1)
-SELECT seqname, min(bin) * 100 AS start, (max(bin) + 1) * 100 AS stop, max(p + m) AS top FROM k GROUP BY seqname, run""")
+@query(f"""WITH {_DENSE}, k AS (SELECT *, bin - row_number() OVER (PARTITION BY seqname ORDER BY bin) AS run FROM dense WHERE p > 0 AND m > 1),
+peaks AS (SELECT seqname, min(bin) * 100 AS start, (max(bin) + 1) * 100 AS stop, max(p + m) AS top, arg_max([p, m], (p + m) * 1e6 - bin) AS v FROM k GROUP BY seqname, run)
+SELECT seqname, start, stop, top, v[1] AS plus, v[2] AS minus FROM peaks""")
 def joint_peaks(spark, d):
     g, r = t.genome(spark, t.READ_LENGTH), t.reads(spark, d)
     both = [tracks.densify(tracks.coverage(r.where(f"strand = '{s}'"), g, 100), g, 100) for s in "+-"]
-    return intervals.joint_peaks(tracks.zip_tracks(both), [0.0, 1.0], 100).select("seqname", F.col("from").alias("start"), F.col("to").alias("stop"), F.col("sum").alias("top"))
+    return intervals.joint_peaks(tracks.zip_tracks(both), [0.0, 1.0], 100).select("seqname", F.col("from").alias("start"), F.col("to").alias("stop"), F.col("sum").alias("top"), F.col("values")[0].alias("plus"), F.col("values")[1].alias("minus"))
 
 
 @query(f"WITH {_DENSE} SELECT seqname, bin, greatest(p, m) AS value FROM dense")
@@ -286,11 +280,13 @@ _MATRIX = [[0.2, -1.0, 0.5, 0.1], [-0.4, 0.3, 0.0, 0.7], [0.1, 0.6, -0.8, 0.2],
 
 @query(f"""WITH s AS {t.SEQUENCES}, p AS (SELECT seqname, sequence, unnest(range(0, length(sequence) - 3)) AS i FROM s WHERE length(sequence) >= 4),
 m AS (SELECT {_MATRIX} AS m), x AS (SELECT seqname, i, unnest(range(1, 5)) AS j, sequence FROM p),
-y AS (SELECT seqname, i, sum(coalesce(CASE WHEN substr(sequence, i + j, 1) = 'n' THEN 0 ELSE m[instr('acgt', substr(sequence, i + j, 1))][j] END, 0)) AS v FROM x, m GROUP BY ALL)
-SELECT seqname, round(CAST(max(v) AS DOUBLE), 6) AS score FROM y GROUP BY seqname""")
+y AS (SELECT seqname, i, sum(coalesce(CASE WHEN substr(sequence, i + j, 1) = 'n' THEN 0 ELSE m[instr('acgt', substr(sequence, i + j, 1))][j] END, 0)) AS v FROM x, m GROUP BY ALL),
+z AS (SELECT seqname, round(CAST(max(v) AS DOUBLE), 6) AS score FROM y GROUP BY seqname)
+SELECT s.seqname, coalesce(score, CAST('-Infinity' AS DOUBLE)) AS score FROM s LEFT JOIN z USING (seqname)""")
 def pwm_max(spark, d):
-    s = t.sequences(spark, d).where(F.length("sequence") >= 4)
-    return s.select("seqname", F.round(pwm.max_score(pwm.scores(F.col("sequence"), _MATRIX)), 6).alias("score"))
+    """-inf for sequences that are shorter than the matrix."""
+    found = pwm.region_scores(t.sequences(spark, d), [_MATRIX], both=False, column="sequence")
+    return found.select("seqname", F.round(F.col("counts")[0], 6).alias("score"))
 
 
 @query(f"WITH s AS {t.SUBJECTS} SELECT strand AS name, seqname, min(f) AS start, max(t) AS stop FROM s GROUP BY ALL")
