@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_topk": topk.OP1_SQL,
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op3_license_scan": license_scan.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op5_decontamination": decontam.OP5_SQL,

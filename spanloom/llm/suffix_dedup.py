@@ -13,14 +13,15 @@ its smallest k-gram by hash (a minimizer, the leftmost on ties): equal windows
 pick equal k-grams at equal offsets, and consecutive windows mostly share one.
 A run of windows with one anchor is a segment.
 
-1. Segments are counted by (anchor, content) with map-side combination; equal
-   segments need no text to be known as repeats, and copies by the thousand
-   collapse here.
-2. Anchors whose segments differ go to suffix sorting: their texts are cut out,
-   dealt by anchor, and LPF/LNF arrays are built bucket by bucket.
-3. An anchor with more than ``hot_segments`` different segments is not gathered:
-   its windows are counted one by one by 128-bit fingerprints, again with
-   map-side combination.
+1. Segments are counted by (anchor, content) with map-side combination, so that
+   copies by the thousand collapse: of equal segments only the first and the last go
+   on, and the others share the last one's verdict.
+2. The segments' texts are cut out and dealt by anchor, and LPF/LNF arrays are built
+   bucket by bucket. They say which windows go.
+3. An anchor with more than ``hot_segments`` different segments is not gathered into
+   one bucket: its windows are dealt by 128-bit fingerprints of all their bytes. A
+   bucket then holds equal windows only, whose LPF is known without sorting: the
+   length, for all but the first. Counts and minima are combined map-side.
 
 Defined cases: null and empty texts have 0 bytes and no spans; repeated rows are
 copies of each other (with keep_first, rows equal in id and text count as one);
@@ -210,10 +211,10 @@ def repeated_windows(rows: np.ndarray, order: np.ndarray, length: int, keep_firs
     return out
 
 
-_SORTED = "k1 long, k2 long, start long, n int"
+_RUNS = "anchor long, content long, later int, at int, n int"
 
 
-def _bucket(texts: list[bytes], n: np.ndarray, rank: np.ndarray, anchors: np.ndarray, length: int, keep_first: bool) -> list[tuple[int, int, int]]:
+def _bucket(texts: list[bytes], n: np.ndarray, rank: np.ndarray, length: int, keep_first: bool) -> list[tuple[int, int, int]]:
     """Removed runs of windows in whole buckets: (segment, first window, number)."""
     total = int(n.sum())
     segment = np.repeat(np.arange(len(n)), n)
@@ -248,21 +249,22 @@ def _bucket(texts: list[bytes], n: np.ndarray, rank: np.ndarray, anchors: np.nda
 
 def _sort_buckets(length: int, keep_first: bool):
     def flush(rows: list[dict]) -> pa.RecordBatch:
-        # the total order of copies: (doc_id, nulls first, then start); ranks of equal places are equal
-        place = [((x["doc_id"] is not None, x["doc_id"] or 0), x["start"], x["k1"]) for x in rows]
+        # the total order of copies: (doc_id, nulls first, then start); with keep_first equal places have equal ranks
+        place = [((x["doc_id"] is not None, x["doc_id"] or 0), x["start"], x["k1"], 0 if keep_first else x["later"]) for x in rows]
         ranks = {v: i for i, v in enumerate(sorted(set(place)))}
         rank = np.array([ranks[v] for v in place], dtype=np.int64)
-        runs = _bucket([x["piece"] for x in rows], np.array([x["n"] for x in rows], dtype=np.int64), rank, np.array([x["anchor"] for x in rows]), length, keep_first)
-        out = [(rows[s]["k1"], rows[s]["k2"], rows[s]["start"] + a, m) for s, a, m in runs]
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], names=["k1", "k2", "start", "n"])
+        runs = _bucket([x["piece"] for x in rows], np.array([x["n"] for x in rows], dtype=np.int64), rank, length, keep_first)
+        out = [(rows[s]["anchor"], rows[s]["content"], rows[s]["later"], a, m) for s, a, m in runs]
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["anchor", "content", "later", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size = 0
         for batch in batches:
             for x in batch.to_pylist():
-                if size > SORT_BYTES // 4 and x["anchor"] != held[-1]["anchor"]:
+                if size > SORT_BYTES // 4 and x["bucket"] != held[-1]["bucket"]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(x)
@@ -273,28 +275,54 @@ def _sort_buckets(length: int, keep_first: bool):
     return run
 
 
-_CUT = "anchor long, fp long, doc_id long, k1 long, k2 long, start long, n int, copies long, piece binary"
+_CUT = "bucket long, anchor long, content long, later int, doc_id long, k1 long, start long, n int, piece binary"
 
 
 def _cut(length: int):
-    """The segments' bytes; of hot anchors, the windows' fingerprints instead."""
+    """The segments' bytes, by anchor."""
     names = [x.split()[0] for x in _CUT.split(", ")]
-    types = [pa.int64()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
+    types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32(), pa.binary()]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 0, 4 << 20):
                 out: list[tuple] = []
+                size = 0
                 for text, wanted in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                     for x in wanted:
-                        where = (x["doc_id"], x["k1"], x["k2"])
+                        segment = (x["anchor"], x["content"], x["later"], x["doc_id"], x["k1"])
                         a, n = x["start"], x["n"]
-                        if not x["hot"]:
-                            out.append((x["anchor"], None, *where, a, n, x["copies"], text[a : a + n + length - 1]))
-                            continue
-                        for s in range(a, a + n):
-                            fp = xxhash.xxh3_128_intdigest(text[s : s + length])
-                            out.append(((fp & (2**64 - 1)) - 2**63, (fp >> 64) - 2**63, *where, s, 1, x["copies"], None))
+                        out.append((x["anchor"], *segment, a, n, text[a : a + n + length - 1]))
+                        size += n + length
+                        if size > 8 << 20:
+                            yield batch_of(out)
+                            out, size = [], 0
+                if out:
+                    yield batch_of(out)
+
+    return run
+
+
+_HOT = "anchor long, content long, later int, doc_id long, k1 long, start long, at int, copies long, f1 long, f2 long"
+
+
+def _windows(length: int):
+    """Of hot anchors' segments, every window with a 128-bit fingerprint."""
+    names = [x.split()[0] for x in _HOT.split(", ")]
+    types = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 0, 4 << 20):
+                out: list[tuple] = []
+                for text, wanted in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                    for x in wanted:
+                        for i in range(x["n"]):
+                            fp = xxhash.xxh3_128_intdigest(text[x["start"] + i : x["start"] + i + length])
+                            out.append((x["anchor"], x["content"], x["later"], x["doc_id"], x["k1"], x["start"] + i, i, x["copies"], (fp & (2**64 - 1)) - 2**63, (fp >> 64) - 2**63))
                         if len(out) > 20_000:
                             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                             out = []
@@ -339,27 +367,37 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = True,
     found = stage(long_enough.mapInArrow(_extract(length), _SEGMENT), "segments")
 
     place = F.struct("doc_id", "start", "k1", "k2", "n")
-    classes = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
-    anchors = classes.groupBy("anchor").agg(F.sum("copies").alias("total"), F.count("*").alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")).where("total > 1")
-    state = stage(classes.join(anchors, "anchor"), "classes")
-
-    again = state.where("copies > 1").select("anchor", "content", "first")
-    copies = found.join(again, ["anchor", "content"])
-    if keep_first:
-        copies = copies.where("not (doc_id <=> first.doc_id and start = first.start and k1 = first.k1)")
-    spans = copies.select("k1", "k2", "start", "n")
-
-    differ = state.where("kinds > 1" if keep_first else "kinds > 1 and single > 0")
-    wanted = differ.select("anchor", "copies", "first.*", (F.col("kinds") > hot_segments).alias("hot")).groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "copies", "doc_id", "k1", "k2", "start", "n", "hot")).alias("wanted"))
+    classes = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max(place).alias("last"))
+    anchors = classes.groupBy("anchor").agg(F.sum("copies").alias("total"), F.count("*").alias("kinds")).where("total > 1")
+    state = stage(classes.join(anchors, "anchor").withColumn("hot", F.col("kinds") > hot_segments), "classes")
+
+    # of equal segments the first and the last go to the suffix arrays; the others share the last one's verdict
+    two = F.when(F.col("copies") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    each = state.select("anchor", "content", "copies", "hot", F.posexplode(two).alias("later", "x"))
+    cells = F.struct("anchor", "content", "copies", "later", F.col("x.doc_id").alias("doc_id"), F.col("x.k1").alias("k1"), F.col("x.start").alias("start"), F.col("x.n").alias("n"))
     texts = keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text")
-    cut = stage(texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut(length), _CUT), "pieces")
-    near = cut.where("piece is not null").select("anchor", "doc_id", "k1", "k2", "start", "n", "piece").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_buckets(length, keep_first), _SORTED)
-    hot = cut.where("piece is null")
-    counted = hot.groupBy("anchor", "fp").agg(F.sum("copies").alias("c"), F.min(F.struct("doc_id", "start", "k1")).alias("first")).where("c > 1")
-    hot = hot.join(counted, ["anchor", "fp"])
-    if keep_first:
-        hot = hot.where("not (doc_id <=> first.doc_id and start = first.start and k1 = first.k1)")
-    spans = spans.unionByName(near).unionByName(hot.select("k1", "k2", "start", "n"))
+
+    def cut(hot: bool) -> DataFrame:
+        wanted = each.where(F.col("hot") == hot).groupBy(F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2")).agg(F.collect_list(cells).alias("wanted"))
+        return texts.join(wanted, ["k1", "k2"]).select("text", "wanted")
+
+    pieces = cut(False).mapInArrow(_cut(length), _CUT)
+    runs = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(length, keep_first), _RUNS)
+    if not state.where("hot").isEmpty():
+        windows = stage(cut(True).mapInArrow(_windows(length), _HOT), "windows")
+        own = F.struct("doc_id", "start", "k1")
+        # a class's last segment stands for all copies but the first
+        weight = F.when(F.col("later") == 1, F.col("copies") - 1).otherwise(1)
+        counted = windows.groupBy("f1", "f2").agg(F.sum(weight).alias("c"), F.min(own).alias("top")).where("c > 1")
+        again = windows.join(counted, ["f1", "f2"])
+        if keep_first:
+            again = again.where("not (doc_id <=> top.doc_id and start = top.start and k1 = top.k1)")
+        runs = runs.unionByName(again.select("anchor", "content", "later", "at", F.lit(1).alias("n")))
+    runs = stage(runs, "runs")
+    copies = found.join(state.select("anchor", "content", "first"), ["anchor", "content"])
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("k1") == F.col("first.k1"))
+    placed = copies.select("anchor", "content", "k1", "k2", "start", F.when(is_first, 0).otherwise(1).alias("later"))
+    spans = placed.join(runs, ["anchor", "content", "later"]).select("k1", "k2", (F.col("start") + F.col("at")).alias("start"), "n")
     by_row = stage(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
     return keyed.join(by_row, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_finish(length), schema)
@@ -380,3 +418,29 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repeated_spans(docs, 400, keep_first=False).drop("spans")
+
+
+def dedup_sql(length: int = 400) -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (
+  SELECT rid, unnest(range(0, octet_length(b) - {length} + 1)) AS i,
+    unnest(list_transform(range(0, octet_length(b) - {length} + 1), lambda i: md5(b[i + 1 : i + {length}]))) AS h
+  FROM d WHERE octet_length(b) >= {length}
+), r AS (SELECT rid, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+e AS (SELECT *, i - lag(i) OVER (PARTITION BY rid ORDER BY i) > {length} AS apart FROM r),
+g AS (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM e),
+s AS (SELECT rid, run, min(i) AS a, max(i) + {length} AS z FROM g GROUP BY rid, run),
+k AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM s),
+t AS (
+  SELECT k.rid, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS z, string_agg(hex(b[before + 1 : a]), '' ORDER BY a) AS kept
+  FROM k JOIN d USING (rid) GROUP BY k.rid
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[z + 1 : octet_length(b)]))) END AS kept_sha256
+FROM d LEFT JOIN t USING (rid)
+"""
+
+
+OP2_SQL = dedup_sql()
