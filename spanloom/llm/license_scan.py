@@ -17,8 +17,8 @@ documents. In that order:
 
 Candidates are verified by the exact overlap. Beside this, base phrases are
 looked up word by word. Everything is DataFrame expressions within the row: the
-only exchange carries one count per template word. The templates are a constant
-of bounded size, checked at the call.
+only exchange carries one count per template word. Templates are laid into the plan
+in groups of about ``most_words`` words, so any number of them can be looked up.
 
 Defined cases: a null text is empty; a text without words has 0 words, null
 positions, empty labels and score 0; rows with repeated or null ids are scanned
@@ -57,7 +57,8 @@ TEMPLATES = [
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
 THRESHOLD = 0.8
-MOST_TEMPLATE_WORDS = 5000
+#: Template words that one look-up lays into the plan; larger template sets are looked up in groups.
+MOST_TEMPLATE_WORDS = 500
 
 
 def _need(n: int, threshold: float) -> int:
@@ -82,23 +83,46 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    sets = [(sorted(set(t.split())), label) for t, label in templates]
-    vocabulary = sorted({w for s, _ in sets for w in s})
-    if len(vocabulary) > MOST_TEMPLATE_WORDS:
-        raise ValueError(f"the templates have {len(vocabulary)} words; at most {MOST_TEMPLATE_WORDS} are laid into the plan")
-    base = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("low"))
-    words = F.regexp_extract_all("low", F.lit(WORD_RE), F.lit(0))
-    with_words = base.select("doc_id", "low", words.alias("words"))
+def template_groups(templates, most: int) -> list[list[tuple[list[str], str]]]:
+    """The templates' word sets with labels, in groups of about ``most`` different words; a larger one is a group of its own."""
+    groups: list[list[tuple[list[str], str]]] = []
+    held: set[str] = set()
+    for text, label in templates:
+        words = sorted(set(text.split()))
+        if not groups or len(held | set(words)) > most:
+            groups.append([])
+            held = set()
+        groups[-1].append((words, label))
+        held |= set(words)
+    return groups
 
+
+def _blocks(with_words: DataFrame, reach: int) -> Column:
+    """The blocks' words: lines, and what stands around the line breaks."""
+    lines = F.transform(F.split("low", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD_RE), F.lit(0)))
+    # a break's place among words and breaks, less the breaks before it, is the number of words before it
+    tokens = F.regexp_extract_all("low", F.lit(WORD_RE + r"|\n"), F.lit(0))
+    places = F.filter(F.transform(tokens, lambda x, i: F.when(x == "\n", i)), lambda i: i.isNotNull())
+    before = F.array_distinct(F.transform(places, lambda i, k: i - k))
+    around = F.transform(before, lambda p: F.slice("words", F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach)) + reach))
+    return F.concat(lines, around)
+
+
+def _frequencies(with_words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """In how many documents each template word stands; a row for each at most."""
     counted = with_words.select(F.explode(F.array_intersect("words", _array(vocabulary))).alias("word")).groupBy("word").count()
-    frequency = {r["word"]: r["count"] for r in counted.collect()}  # a row for each template word at most
+    return {r["word"]: r["count"] for r in counted.collect()}
+
+
+def _look_up(joined: DataFrame, with_words: DataFrame, group: list[tuple[list[str], str]], threshold: float, reach: int, out: str) -> DataFrame:
+    """joined with ``out``: label and share of every template of the group that a block contains."""
+    vocabulary = sorted({w for words, _ in group for w in words})
+    frequency = _frequencies(with_words, vocabulary)
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
 
     # per template: its ranks in global order, what it needs, and the index of prefixes
-    ranked = [(sorted(rank[w] for w in s), label, _need(len(s), threshold)) for s, label in sets]
+    ranked = [(sorted(rank[w] for w in words), label, _need(len(words), threshold)) for words, label in group]
     index: dict[int, list[int]] = {}
     for t, (ranks, _, need) in enumerate(ranked):
         for r in ranks[: len(ranks) - need + 1]:
@@ -106,42 +130,53 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     prefix_words = [order[r] for r in sorted(index)]
 
     rank_map = F.create_map(*[x for w in order for x in (F.lit(w), F.lit(rank[w]))])
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(r) for r in ranks]).alias("ranks"), F.lit(need).alias("need")) for ranks, label, need in ranked])
+    entries = [F.struct(F.lit(label).alias("label"), F.array(*[F.lit(r) for r in ranks]).alias("ranks"), F.lit(need).alias("need")) for ranks, label, need in ranked]
     index_map = F.create_map(*[x for r, ts in sorted(index.items()) for x in (F.lit(r), F.array(*[F.lit(t) for t in ts]))])
-
+    least = min(need for _, _, need in ranked)
     ranks_of = lambda words: F.array_sort(F.transform(F.array_intersect(words, _array(order)), lambda w: rank_map[w]))
-    least = min((need for _, _, need in ranked), default=1)
-    lines = F.transform(F.split("low", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD_RE), F.lit(0)))
-    # a break's place among words and breaks, less the breaks before it, is the number of words before it
-    tokens = F.regexp_extract_all("low", F.lit(WORD_RE + r"|\n"), F.lit(0))
-    places = F.filter(F.transform(tokens, lambda x, i: F.when(x == "\n", i)), lambda i: i.isNotNull())
-    before = F.array_distinct(F.transform(places, lambda i, k: i - k))
-    reach = max((len(t.split()) for t, _ in templates), default=1) - 1
-    around = F.transform(before, lambda p: F.slice("words", F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach)) + reach))
-    blocks = F.array_distinct(F.filter(F.transform(F.concat(lines, around), ranks_of), lambda b: F.size(b) >= least))
+    own = F.array_distinct(F.filter(F.transform(_blocks(with_words, reach), ranks_of), lambda b: F.size(b) >= least))
 
     def candidates(b: Column) -> Column:
         """Templates with a prefix word in the block."""
-        return F.array_distinct(F.flatten(F.transform(F.filter(b, lambda r: F.array_contains(F.map_keys(index_map), r)), lambda r: index_map[r])))
+        known = F.filter(b, lambda r: F.array_contains(F.map_keys(index_map), r))
+        return F.array_distinct(F.flatten(F.transform(known, lambda r: index_map[r])))
 
     def verified(b: Column, t: Column) -> Column:
         """Containment of template t in block b, or null below the threshold."""
         entry = F.get(F.col("templates"), t)
         shared = F.array_intersect(b, entry["ranks"])
         first = F.array_min(shared)
-        left = F.least(F.size(b) - F.array_position(b, first).cast("int") + 1, F.size(entry["ranks"]) - F.array_position(entry["ranks"], first).cast("int") + 1)
+        behind = lambda x: F.size(x) - F.array_position(x, first).cast("int") + 1
+        left = F.least(behind(b), behind(entry["ranks"]))
         fits = (F.size(b) >= entry["need"]) & (left >= entry["need"]) & (F.size(shared) >= entry["need"])
         return F.when(fits, F.struct(entry["label"].alias("label"), (F.size(shared) / F.size(entry["ranks"])).alias("share")))
 
-    nothing = F.array().cast("array<struct<label:string,share:double>>")
-    hits = F.flatten(F.transform("blocks", lambda b: F.filter(F.transform(candidates(b), lambda t: verified(b, t)), lambda x: x.isNotNull())))
-    joined = (
-        with_words.withColumn("maybe", F.arrays_overlap("words", _array(prefix_words)) if prefix_words else F.lit(False))
-        .withColumn("blocks", F.when(F.col("maybe"), blocks).otherwise(F.array().cast("array<array<int>>")))
-        .withColumn("templates", table)
-        .withColumn("hits", F.when(F.size("blocks") > 0, hits).otherwise(nothing) if ranked else nothing)
+    found = F.transform("blocks", lambda b: F.filter(F.transform(candidates(b), lambda t: verified(b, t)), lambda x: x.isNotNull()))
+    maybe = F.arrays_overlap("words", _array(prefix_words))
+    return (
+        joined.withColumn("maybe", maybe)
+        .withColumn("blocks", F.when(F.col("maybe"), own).otherwise(F.array().cast("array<array<int>>")))
+        .withColumn("templates", F.array(*entries))
+        .withColumn(out, F.when(F.size("blocks") > 0, F.flatten(found)).otherwise(F.array().cast(_HITS)))
+        .drop("maybe", "blocks", "templates")
     )
-    starts = [F.when(F.array_contains("words", phrase.split()[0]), _phrase_starts(F.col("words"), phrase)).otherwise(F.array().cast("array<int>")) for phrase, _ in phrases]
+
+
+_HITS = "array<struct<label:string,share:double>>"
+
+
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_TEMPLATE_WORDS) -> DataFrame:
+    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    base = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("low"))
+    with_words = base.select("doc_id", "low", F.regexp_extract_all("low", F.lit(WORD_RE), F.lit(0)).alias("words"))
+    reach = max((len(t.split()) for t, _ in templates), default=1) - 1
+    joined, columns = with_words, []
+    for i, group in enumerate(template_groups(templates, most_words)):
+        columns.append(f"hits{i}")
+        joined = _look_up(joined, with_words, group, threshold, reach, columns[-1])
+    joined = joined.withColumn("hits", F.concat(*columns) if columns else F.array().cast(_HITS))
+    none = F.array().cast("array<int>")
+    starts = [F.when(F.array_contains("words", phrase.split()[0]), _phrase_starts(F.col("words"), phrase)).otherwise(none) for phrase, _ in phrases]
     with_base = joined.withColumn("places", F.array(*starts))
     n_base = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.size(x))
     every = F.flatten("places")
@@ -168,6 +203,7 @@ def op3_license_scan(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     phrase_rows = ", ".join(f"({i}, {p.split()!r}, '{label}')" for i, (p, label) in enumerate(PHRASES))
     template_rows = ", ".join(f"({i}, {sorted(set(t.split()))!r}, '{label}')" for i, (t, label) in enumerate(TEMPLATES))
+    reach = max(len(t.split()) for t, _ in TEMPLATES) - 1
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_LOWER} AS low FROM documents),
 w AS (SELECT rid, doc_id, low, regexp_extract_all(low, '{WORD_RE}') AS words FROM d),
@@ -179,7 +215,15 @@ places AS (
 ),
 base AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM places GROUP BY rid),
 lines AS (SELECT rid, unnest(string_split(low, chr(10))) AS line FROM d),
-sets AS (SELECT rid, list_distinct(regexp_extract_all(line, '{WORD_RE}')) AS b FROM lines),
+tokens AS (SELECT rid, regexp_extract_all(low, '{WORD_RE}|\\n') AS t FROM d),
+breaks AS (
+  SELECT rid, unnest(list_distinct(list_transform(list_filter(range(1, len(t) + 1), lambda i: t[i] = chr(10)), lambda i, k: i - k))) AS p
+  FROM tokens WHERE list_contains(t, chr(10))
+),
+sets AS (
+  SELECT rid, list_distinct(regexp_extract_all(line, '{WORD_RE}')) AS b FROM lines
+  UNION ALL SELECT rid, list_distinct(words[greatest(p - {reach}, 0) + 1 : greatest(p - {reach}, 0) + least(p, {reach}) + {reach}]) FROM breaks JOIN w USING (rid)
+),
 found AS (
   SELECT rid, label, len(list_intersect(b, parts)) AS shared, len(parts) AS size FROM sets, templates
   WHERE len(list_intersect(b, parts)) >= greatest(1, ceil({THRESHOLD} * len(parts) - 1e-9))
