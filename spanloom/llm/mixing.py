@@ -5,7 +5,8 @@ Sizes are words. A source's target is its weight's share of all words, at most
 above. In closed form: with the sources in the order of cap over weight, the
 water level is where the capped ones end.
 
-Each source is dealt by hash into a fixed number of blocks. A source is taken
+Each source is dealt by hash into blocks: at least BLOCKS, and so many that the
+largest source has about BLOCK_ROWS documents in one. A source is taken
 whole as often as its target allows; of the rest, its blocks are drawn in an
 order permuted by hash until the target is reached, and in the block at the
 border, documents in a permuted order. Block quotas are exact by source. Which
@@ -23,8 +24,10 @@ alone: reruns agree. Window orderings are within one source's blocks (at most
 
 Defined cases: a null text has size 0 and is taken for 0; null is a source of its
 own, in order the last; with no words every target is 0; rows with the same id
-are kept apart only by their text, and equal rows are taken alike; an empty table
-gives no rows.
+share their block, and within it they stand by size and by a hash of their text, so
+reruns take the same texts; of equal rows some may be taken once more than others,
+and which of them cannot be told; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ from .textops import SPACE_WORD_RE
 WEIGHTS = [5, 2, 1]
 CAP = 3
 BLOCKS = 256
+#: Documents of the largest source in a block, beyond which there are more blocks.
+BLOCK_ROWS = 4096
 SHARDS = 8
 
 
@@ -135,8 +140,12 @@ def mix(docs: DataFrame, weights: list[int] = WEIGHTS, cap: int = CAP, blocks: i
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.size(F.regexp_extract_all(text, F.lit(SPACE_WORD_RE), F.lit(0))).cast("long")
     key = _unit(F.col(id_col), F.lit(seed))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), key.alias("pick"))
-    rows = stage(rows.withColumn("block", (F.col("pick") % blocks).cast("int")), "mix-rows")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), key.alias("pick"), F.xxhash64(F.col(text_col)).alias("hash"))
+    rows = stage(rows, "mix-rows")
+    largest = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    while largest > blocks * BLOCK_ROWS:
+        blocks *= 2
+    rows = rows.withColumn("block", (F.col("pick") % blocks).cast("int"))
 
     sums = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
@@ -163,7 +172,7 @@ def mix(docs: DataFrame, weights: list[int] = WEIGHTS, cap: int = CAP, blocks: i
 
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["s"]) & (rows["block"] == plan["b"])).drop("s", "b")
     inner = joined.where("not border").withColumn("copies", F.col("whole") + F.when(F.col("drawn"), 1).otherwise(0))
-    walk = Window.partitionBy("source", "block").orderBy("pick", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    walk = Window.partitionBy("source", "block").orderBy("pick", "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, 0)
     edge = joined.where("border").withColumn("upto", F.col("before") + F.sum("size").over(walk) - F.col("size"))
     edge = edge.withColumn("copies", F.col("whole") + F.when(F.col("upto") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)).drop("upto")
     both = inner.unionByName(edge)
