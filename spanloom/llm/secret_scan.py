@@ -29,6 +29,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textops import fresh
+
 _KEY = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 #: Kind, pattern, group whose length counts, least length; fixed values.
 KINDS = [
@@ -36,7 +38,8 @@ KINDS = [
     ("access", "AKIA[A-Z0-9]+", 0, 18),
     ("hex", "[0-9a-f]+", 0, 16),
 ]
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+LEAST_TOKEN = 20
+TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
 FLOOR = 0  # thousandths of a nat for each character; 0: random is the likelier
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -105,30 +108,40 @@ def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
     return F.aggregate(zipped, step, add, lambda a: a["out"])
 
 
-def find_spans(docs: DataFrame, model: dict[str, int], floor: int = FLOOR, text_col: str = "text") -> DataFrame:
-    """docs with ``_base`` and ``_found``: arrays of struct(s, k, e, kind), in the order of start and kind."""
+def find_spans(docs: DataFrame, model: dict[str, int], floor: int = FLOOR, text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: the base spans and all spans.
+
+    Spans are structs (s, k, e, kind) in the order of start and kind.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<s:int,e:int>>")
     gates = ["assign", "access", "hex", "markov"]
+    *kinds, table, base, every = fresh(docs, *gates, "model", "base", "every")
     # a cheap test first: most texts have none of a kind
     tests = [text.rlike(f"({_KEY})[\"']?\\x20*[:=]"), text.contains("AKIA"), text.rlike("[0-9a-f]{16}"), text.rlike(TOKEN)]
     each = [F.when(test, _spans(text, pattern, group, least)).otherwise(none) for test, (_, pattern, group, least) in zip(tests, KINDS, strict=False)]
 
     size = len(ALPHABET)
     flat = F.array(*[F.lit(model[a + b]) for a in ALPHABET for b in ALPHABET])
-    staged = docs.withColumns({f"_{g}": c for g, c in zip(gates, each, strict=False)})
-    staged = staged.withColumn("_markov", F.when(tests[3], _spans(text, TOKEN, 0, 20)).otherwise(none)).withColumn("_model", F.when(F.size("_markov") > 0, flat))
+    tokens = F.when(tests[3], _spans(text, TOKEN, 0, LEAST_TOKEN)).otherwise(none)
+    staged = docs.withColumns(dict(zip(kinds, [*each, tokens], strict=True)))
+    staged = staged.withColumn(table, F.when(F.size(kinds[3]) > 0, flat))
 
     def random_like(x: Column) -> Column:
         token = F.substring(text, x["s"] + 1, x["e"] - x["s"])
         code = lambda i: F.position(F.substring(token, i, F.lit(1)), F.lit(ALPHABET)) - 1
-        score = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0), lambda a, i: a + F.get(F.col("_model"), (code(i) * size + code(i + 1)).cast("int")))
-        return token.rlike("[0-9]") & (score >= floor * (F.length(token) - 1))
+        pair = lambda i: F.get(F.col(table), (code(i) * size + code(i + 1)).cast("int"))
+        score = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0), lambda a, i: a + pair(i))
+        return _digit_or_more(token) & (score >= floor * (F.length(token) - 1))
+
+    staged = staged.withColumn(kinds[3], F.filter(kinds[3], random_like))
+    tagged = [_tag(F.col(c), i, g) for i, (c, g) in enumerate(zip(kinds, gates, strict=True))]
+    staged = staged.withColumn(base, F.array_sort(F.concat(*tagged[:3]))).withColumn(every, F.array_sort(F.concat(base, tagged[3])))
+    return staged.drop(table, *kinds), base, every
+
 
-    staged = staged.withColumn("_markov", F.filter("_markov", random_like))
-    tagged = [_tag(F.col(f"_{g}"), i, g) for i, g in enumerate(gates)]
-    staged = staged.withColumn("_base", F.array_sort(F.concat(*tagged[:3]))).withColumn("_found", F.array_sort(F.concat("_base", tagged[3])))
-    return staged.drop("_markov", "_model", *[f"_{g}" for g in gates])
+def _digit_or_more(token: Column) -> Column:
+    return token.rlike("[0-9]")
 
 
 def _tag(spans: Column, order: int, kind: str) -> Column:
@@ -142,24 +155,27 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, samples: DataFrame | None = None, floor: int = FLOOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     model = train(docs.sparkSession, samples)
-    found = find_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, floor).select("doc_id", "_base", "_found")
-    n = lambda kind: F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long")
-    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("_found")).alias("spans"))
+    found, base, every = find_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, floor)
+    found = found.select("doc_id", base, every)  # what follows reads the spans, not the texts
+    n = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(_joined(F.col(base)).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), digest, _joined(F.col(every)).alias("spans"))
 
 
 def redact(docs: DataFrame, samples: DataFrame | None = None, mark: str = "[SECRET]", floor: int = FLOOR, text_col: str = "text") -> DataFrame:
     """docs with every span's text replaced by ``mark``; overlapping spans are one. Null texts stay null."""
     model = train(docs.sparkSession, samples)
-    found = find_spans(docs, model, floor, text_col)
+    found, _, every = find_spans(docs, model, floor, text_col)
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(a: Column, x: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
+        fresh_part = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mark))
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], fresh_part).otherwise(a["out"]).alias("out"))
 
-    cleaned = F.aggregate("_found", start, cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_found") > 0, cleaned).otherwise(text)).drop("_base", "_found")
+    cleaned = F.aggregate(every, start, cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    replaced = F.when(F.size(every) > 0, cleaned).otherwise(text)
+    return found.withColumn(text_col, replaced).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
@@ -179,7 +195,7 @@ def spans_sql(text: str, rid: str, source: str) -> str:
     table = _table(_counts())
     llr = ", ".join(str(table[a + b]) for a in ALPHABET for b in ALPHABET)
     parts = []
-    for k, (kind, pattern, group, least) in enumerate([*KINDS, ("markov", TOKEN, 0, 20)]):
+    for k, (kind, pattern, group, least) in enumerate([*KINDS, ("markov", TOKEN, 0, LEAST_TOKEN)]):
         quoted = pattern.replace("'", "''")
         parts.append(f"""SELECT {rid} AS rid, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all({text}, '{quoted}', 0) AS m,
           regexp_extract_all({text}, '{quoted}', {group}) AS g, string_split_regex({text}, '{quoted}') AS gap FROM {source}""")
