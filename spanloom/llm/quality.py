@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textops import slices, utf8
+from .textops import fresh, slices, utf8
 
 MOST_ROWS = 20_000
 BINS = 64
@@ -161,7 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(fold(F.col("doc_id")) != 0).where("y in (0, 1)")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")  # at most most_rows ids
-    rows = texts.mapInArrow(_features, "x array<double>, y int").collect()
+    # rows of a repeated id count each, up to the same bound
+    found = texts.mapInArrow(_features, "x array<double>, y int").orderBy(F.xxhash64("x", "y"), "x", "y")
+    rows = found.limit(most_rows).collect()
     order = sorted((tuple(r["x"]), r["y"]) for r in rows)
     x = np.array([r[0] for r in order]).reshape(-1, N_FEATURES)
     return fit(x, np.array([r[1] for r in order], dtype=float))
@@ -188,9 +191,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_ro
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = MOST_ROWS) -> DataFrame:
     """The documents the classifier does not reject, with all their columns."""
     model = train(docs, labels, most_rows)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    scored = docs.mapInArrow(_score(model, docs.columns, docs.columns.index("text"), "_quality"), f"{schema}, `_quality` double")
-    return scored.where(F.col("_quality") >= threshold).drop("_quality")
+    (score,) = fresh(docs, "score")
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
+    scored = docs.mapInArrow(_score(model, docs.columns, docs.columns.index("text"), score), schema)
+    return scored.where(F.col(score) >= threshold).drop(score)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
