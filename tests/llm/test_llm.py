@@ -88,6 +88,10 @@ def test_dedup(docs, length, hot):
     assert sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
 
 
+def test_dedup_sql(docs):
+    same(suffix_dedup.repeated_spans(docs, 40, keep_first=False).drop("spans"), suffix_dedup.dedup_sql(40), docs)
+
+
 def test_dedup_keeps_first(spark):
     d = spark.createDataFrame([(2, P * 2), (1, "a" + P), (3, "zzz")], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_spans(d, 40).collect()}
@@ -122,6 +126,9 @@ def test_license_wrapped_over_lines(spark):
     assert all(label in labels for (_, label), labels in zip(license_scan.TEMPLATES, got[3:], strict=False))
     assert got[3 + len(every) :] == [[""], [""], ["bsd"], [""]]
     assert {r.score for r in license_scan.scan(docs.where("doc_id in (0, 1, 2)")).collect()} == {1.0}
+    same(license_scan.scan(docs), license_scan.OP3_SQL, docs.selectExpr("*", "0 as n_chars"))
+    one = sorted(map(tuple, license_scan.scan(docs).collect()))
+    assert sorted(map(tuple, license_scan.scan(docs, most_words=20).collect())) == one  # several groups of templates
 
 
 def test_mixing(docs):
@@ -262,11 +269,148 @@ def test_warc_finds_damage():
     frame = zstandard.ZstdCompressor().compress(good)
     head = struct.pack("<II", warc.MAGIC, 0)
     assert len(list(warc.read_archive(io.BytesIO(head + frame + frame)))) == 2
-    for bad in (frame, head + frame[:-3], head + zstandard.ZstdCompressor().compress(good.replace(b"abc", b"abd")), head + zstandard.ZstdCompressor().compress(good[:-2])):
+    for bad in (frame[:9], b"no frame at all", head + frame[:-3], head + zstandard.ZstdCompressor().compress(good.replace(b"abc", b"abd")), head + zstandard.ZstdCompressor().compress(good[:-2])):
         with pytest.raises((warc.BadArchive, zstandard.ZstdError)):
             list(warc.read_archive(io.BytesIO(bad)))
 
 
+def test_warc_of_other_writers():
+    import base64
+    import io
+
+    sha1 = base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+    http_block = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nabc"
+    lines = ["WARC/1.0", "warc-type: response", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2024-01-01T00:00:00Z", f"Content-Length: {len(http_block)}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", "X-Folded: a", "  b"]
+    foreign = "\r\n".join(lines).encode() + b"\r\n\r\n" + http_block + b"\r\n\r\n"
+    own = warc.record("response", 1, "u", b"abc" * 50, hashlib.sha256(b"abc" * 50).hexdigest())
+    trained = zstandard.train_dictionary(4096, [f"{i} {P} {i * 7}".encode() * 3 for i in range(300)])
+    tool = zstandard.ZstdCompressor(dict_data=trained)
+    body = zstandard.ZstdCompressor().compress(trained.as_bytes())
+    skipped = struct.pack("<II", warc.SKIPPABLE + 3, 4) + b"skip"
+    archives = [
+        zstandard.ZstdCompressor().compress(foreign) + skipped + zstandard.ZstdCompressor().compress(own),
+        struct.pack("<II", warc.MAGIC, len(body)) + body + tool.compress(foreign) + tool.compress(own),
+    ]
+    for data in archives:
+        (h, payload), (_, second) = warc.read_archive(io.BytesIO(data))
+        assert payload == b"abc" and second == b"abc" * 50 and h["x-folded"] == "a b"
+        assert warc._row(h, payload, False)[:5] == (None, "", 3, hashlib.sha256(b"abc").hexdigest(), "response")
+    with pytest.raises(warc.BadArchive):
+        list(warc.read_archive(io.BytesIO(zstandard.ZstdCompressor().compress(foreign.replace(b"\r\nabc", b"\r\nabd")))))
+
+
+def test_warc_rolls_archives(spark):
+    rows = [(i, "u", hashlib.sha256(str(i).encode()).hexdigest() * 20, "clash", 1) for i in range(40)] + [(3, "u", "x" * 200, "c", 2), (3, "u", "x" * 200, "c", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, n int").coalesce(1)
+    archives = warc.write_archives(pages, roll=2000)
+    assert archives.count() > 3
+    assert warc.read_archives(archives).count() == len(rows)
+
+
+def plain_fit(x, y, trees, depth, rate):
+    """Boosting by looking at every threshold of every feature, one node after another."""
+    edges = quality.bin_edges(x)
+    p = y.mean()
+    margin = np.full(len(x), np.log(p / (1 - p)))
+    for _ in range(trees):
+        prob = 1 / (1 + np.exp(-margin))
+        g, h = prob - y, prob * (1 - prob)
+        groups = [np.arange(len(x))]
+        for _ in range(depth):
+            after = []
+            for rows in groups:
+                best, cut = 1e-6, None
+                for f in range(x.shape[1]):
+                    for e in edges[f]:
+                        left = rows[x[rows, f] <= e]
+                        if len(left) < quality.LEAF_ROWS or len(rows) - len(left) < quality.LEAF_ROWS:
+                            continue
+                        gl, hl, gt, ht = g[left].sum(), h[left].sum(), g[rows].sum(), h[rows].sum()
+                        gain = gl**2 / (hl + quality.L2) + (gt - gl) ** 2 / (ht - hl + quality.L2) - gt**2 / (ht + quality.L2)
+                        if gain > best + 1e-9:
+                            best, cut = gain, (f, e)
+                right = x[rows, cut[0]] > cut[1] if cut else np.zeros(len(rows), bool)
+                after += [rows[~right], rows[right]]
+            groups = after
+        for rows in groups:
+            if len(rows):
+                margin[rows] += -rate * g[rows].sum() / (h[rows].sum() + quality.L2)
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_quality_fit_is_the_plain_one():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 2] > -0.4)).astype(float)
+    model = quality.fit(x, y, trees=4, depth=2, rate=0.3)
+    assert np.allclose(model.scores(x), plain_fit(x, y, 4, 2, 0.3))
+
+
+def test_topk_with_huge_components(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    big = rng.integers(-(2**30), 2**30, size=(300, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(big)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.top_k(v, 5, F.col("vec_id") % 50 == 0, scale=1.0, candidate_block=40).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in range(0, 300, 50):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(big[q], c)), i) for i, c in enumerate(big) if i != q)[:5]
+        want += [(q, i, -s) for s, i in scores]
+    assert got == want
+    over = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(over, 5, F.col("vec_id") == 0).collect()
+
+
+@pytest.mark.parametrize("percent", [30, 50, 70, 80, 95, 100])
+def test_jaccard_signatures_lose_no_link(percent):
+    rng = np.random.default_rng(percent)
+    for documents in (10**3, 10**12):
+        bands = jaccard_join.plan_bands(percent, documents, 1000)
+        for _ in range(60):
+            n = int(rng.integers(1, 200))
+            s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            # change as much as a link allows
+            keep = s[rng.permutation(len(s))[: int(np.ceil(len(s) * percent / 100))]] if rng.random() < 0.5 else s
+            extra = int(len(keep) * 100 / percent - len(s)) if len(keep) == len(s) else 0
+            t = np.unique(np.concatenate([keep, rng.integers(0, 2**63, max(0, extra)).astype(np.uint64)]))
+            both = len(np.intersect1d(s, t))
+            if 100 * both < percent * (len(s) + len(t) - both):
+                continue
+            assert set(jaccard_join.signatures(s, bands, percent)) & set(jaccard_join.signatures(t, bands, percent))
+            differ = len(s) + len(t) - 2 * both
+            assert jaccard_join.sketch_distance(jaccard_join.sketch(s), jaccard_join.sketch(t)) <= differ <= jaccard_join.most_different(percent, len(s) + len(t))
+
+
+def test_secrets_with_clashing_columns(spark):
+    names = ["_base", "_found", "_hex", "assign", "access", "hex", "markov", "model", "base", "every"]
+    rows = [(1, 'token = "04dbebab91ab85687d33"', *names)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = secret_scan.redact(d).first()
+    assert got.text == "[SECRET]\"" and list(got)[2:] == names
+
+
+def test_proximity_is_the_plain_one(spark, docs):
+    got = sorted((repr(r.doc_id), r.start) for r in decontam.proximity(docs, ["the", "dog"], 6).collect())
+    want = []
+    for r in docs.collect():
+        w = [x.decode() for x in decontam.words((r.text or "").encode())]
+        for i, x in enumerate(w):
+            if x in ("the", "dog") and {"the", "dog"} <= set(w[i : i + 6]):
+                want.append((repr(r.doc_id), i))
+    assert got == sorted(want) and got
+
+
+def test_decontamination_of_repeated_words(spark):
+    docs = spark.createDataFrame([(1, "a " * 20_000), (2, "a b " * 8_000), (3, "b")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a " * 1000), (8, "a b " * 500)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.decontaminate(docs, items).collect()}
+    assert got == {1: (20_000, 1), 2: (16_000, 1), 3: (0, 0)}
+
+
 def test_quality_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 5))

@@ -125,6 +125,18 @@ def test_stages_take_odd_tables(spark, stage):
     assert step(spark, docs.limit(0), SF).count() == 0
 
 
+CLASH = ["_key", "_k", "_row", "k1", "k2", "alone", "row", "score", "_quality", "every", "base", "hash", "pick"]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_clashing_columns(spark, stage):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, "en", "s", 10, *CLASH), (2, "other " + text[::-1], "en", "s", 10, *CLASH)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH))
+    out = p.STAGES[stage][1](spark, docs, SF)
+    assert out.columns == docs.columns and all(list(r)[5:] == CLASH for r in out.collect())
+
+
 def test_decontamination_keeps_clean_rows_of_the_same_id(spark):
     item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text and len(r.text.split()) >= 10)
     rows = [(1, item), (1, "zq zr zs"), (None, "before " + item + " after"), (None, "zq zt"), (None, None), (2, "zq"), (2, "zq")]
