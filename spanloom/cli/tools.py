@@ -149,7 +149,9 @@ def _pair(value: str | None, kind: type = float, separator: str = ",", default=N
 def bam_to_bigwig(spark, a):
     if len(a.rest) > 2:
         raise SystemExit("expected: treatment [control] result.bw")
-    seen = []
+    def tell(path: str, step: str, n: int) -> None:
+        print(f"{path}: {n} reads after the filter by {step}", file=sys.stderr)
+
     s = coverage.Settings(
         bin_size=a.bin_size, method=a.binning_method, normalize_by=a.normalize_track, log=a.log_scale,
         pseudocounts=_pair(a.pseudocounts, default=(0.0, 0.0)), paired_as_single=a.paired_as_single_end,
@@ -159,14 +161,12 @@ def bam_to_bigwig(spark, a):
         smooth_control=(a.smoothen_min_counts, list(_pair(a.smoothen_window_sizes, int, ",", (10, 20, 50, 100, 200)))) if a.smoothen_control else None,
         filtered=(a.filter_chromosomes or "").split(",") if a.filter_chromosomes else [], remove_filtered=a.remove_filtered_chromosomes,
         estimate=a.estimate_fragment_length, feasible=_pair(a.fragment_length_range, int, ":", (None, None)),
-        estimate_bin=a.fragment_length_bin_size, watch=(lambda *x: seen.append(x)) if a.verbose else None,
+        estimate_bin=a.fragment_length_bin_size, watch=tell if a.verbose else None,
     )
     named = lambda spec: [(p, n if n is not None else a.fragment_length) for p, n in _files(spec)]
     control = named(a.rest[0]) if len(a.rest) == 2 else []
     track, genome, found = coverage.bam_track(spark, named(a.treatment), control, s)
     bigwig.write_bigwig(track, genome, a.rest[-1], a.bin_size)
-    for path, step, observation in seen:
-        print(f"{path}: {observation.get['n']} reads after the filter by {step}", file=sys.stderr)
     for path, (length, correlation) in found.items():
         base = path.removesuffix(".bam")
         if a.save_fraglen:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import bam
@@ -39,8 +39,8 @@ class Settings:
     estimate: bool = False
     feasible: tuple[int | None, int | None] = (None, None)
     estimate_bin: int = 10
-    #: Told (file, step, observation) for every filter; an observation has its count when the track has been computed.
-    watch: Callable[[str, str, Observation], None] | None = None
+    #: Told (file, step, reads left) after every filter; each count is a pass over the file.
+    watch: Callable[[str, str, int], None] | None = None
 
 
 def genome_of(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -65,9 +65,7 @@ def load_reads(spark: SparkSession, path: str, s: Settings) -> DataFrame:
     for name, options in steps:
         out = rd.filter_reads(out, **options)
         if s.watch:
-            seen = Observation()
-            out = out.observe(seen, F.count(F.lit(1)).alias("n"))
-            s.watch(path, name, seen)
+            s.watch(path, name, out.count())
     return rd.shift_reads(out, *s.shift) if any(s.shift) else out
 
 

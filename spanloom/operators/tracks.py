@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +105,6 @@ def map_python(track: DataFrame, spec: str) -> DataFrame:
     """Element-wise ``module:function`` f(seqname, position-array, value-array) over Arrow batches - the plug-in point."""
     import importlib
 
-    import pandas as pd
-
     module, _, name = spec.partition(":")
 
     @F.pandas_udf("double")
@@ -119,8 +118,6 @@ def map_python_list(tracks: list[DataFrame], spec: str, bin_size: int) -> DataFr
     """``module:function`` f(seqname, position, *values) over the bins that every track has, called per bin in Arrow batches."""
     import importlib
 
-    import pandas as pd
-
     module, _, name = spec.partition(":")
 
     @F.pandas_udf("double")
