@@ -65,3 +65,20 @@ def test_a_large_cell_is_compared_in_blocks():
     began = time.process_time()
     sum(b.num_rows for b in j._cells(80, 2)(batches(rows, 10_000)))
     assert time.process_time() - began < 4  # 4 million pairs, one by one, take three times as long
+
+
+def test_partners_beyond_the_nearest_are_tried(spark):
+    """Round 1 links others and uses up the nearest; the link of 4 and 3, whose nearest are strangers, is still found."""
+    sketches = {4: 0, 1: 1, 2: 2, 3: 0b11111000, 7: 0b11110000, 8: 0b11101000, 10: 0, 11: 1, 12: 3}
+    truth = spark.createDataFrame([(4, 3), (12, 11)], "a long, b long")
+    nodes = [(k, 0, 0, 64, v.to_bytes(8, "little")) for k, v in sketches.items()]
+    join = object.__new__(j._Join)
+    join.percent, join.shingle, join.block = 50, 3, 1024
+    join.docs = join.nodes = spark.createDataFrame(nodes, "node long, k1 long, k2 long, n long, sketch binary")
+    join.members = spark.createDataFrame([(5 if k < 10 else 6, k) for k in sketches], "sig long, node long")
+    join.ties = spark.createDataFrame([(k, 1, 1) for k in (2, 3, 4, 7, 8)] + [(11, 10, 1), (12, 10, 2)], "a long, b long, distance long")
+    join.ties = join.ties.where("a not in (3, 4)")  # as if the sketches had ruled these out
+    join.verified = lambda pairs: pairs.join(truth, ["a", "b"])
+    roots = {r.node: r.root for r in join.forest().collect()}
+    assert roots[11] == roots[12] and roots[4] == roots[3]
+    assert len(set(roots.values())) == len(sketches) - 2
