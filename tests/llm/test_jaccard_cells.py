@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import jaccard_join as j
 
@@ -82,3 +83,11 @@ def test_partners_beyond_the_nearest_are_tried(spark):
     roots = {r.node: r.root for r in join.forest().collect()}
     assert roots[11] == roots[12] and roots[4] == roots[3]
     assert len(set(roots.values())) == len(sketches) - 2
+
+
+@pytest.mark.parametrize("many", [1, 3000])
+def test_texts_of_other_rows_stay_where_they_are(spark, many):
+    rows = spark.range(20_000).select((F.col("id") * 7 - 50_000).alias("k1"), F.col("id").cast("string").alias("text"))
+    keys = rows.where(f"cast(text as long) < {many}")
+    got = {r.k1 for r in j._only(rows, keys.select("k1"), many).collect()}
+    assert {r.k1 for r in keys.collect()} <= got and len(got) < many + 20_000 / 8
