@@ -91,3 +91,28 @@ def test_texts_of_other_rows_stay_where_they_are(spark, many):
     keys = rows.where(f"cast(text as long) < {many}")
     got = {r.k1 for r in j._only(rows, keys.select("k1"), many).collect()}
     assert {r.k1 for r in keys.collect()} <= got and len(got) < many + 20_000 / 8
+
+
+@pytest.mark.parametrize("block,earlier", [(1024, 64), (4, 64), (4, 1)])
+def test_a_pair_of_many_signatures_is_made_once(spark, monkeypatch, block, earlier):
+    """Of all pairs of different roots that share a signature none is lost, and each is made in one of them."""
+    monkeypatch.setattr(j, "EARLIER", earlier)
+    rng = random.Random(block)
+    base = np.array([rng.getrandbits(64) for _ in range(200)], np.uint64)
+    nodes = [node(rng, base, size, rng.randint(0, 30)) for size in rng.choices([64, 150, 200], k=40)]
+    nodes = [(k, rng.choice([0, 0, 0, 1, k]), *x[2:]) for k, x in enumerate(nodes)]
+    members = [(sig, k) for sig in range(30) for k in range(40) if rng.random() < (0.9, 0.5, 0.05)[sig % 3]]
+    has = defaultdict(set)
+    for sig, k in members:
+        has[k].add(sig)
+    truth = set()
+    for a, r, n, s in nodes:
+        for b, r2, m, t in nodes[:a]:
+            d = j._distance((n, s), (m, t), 60) if r != r2 and has[a] & has[b] else None
+            truth |= set() if d is None else {(a, b, d)}
+    tables = spark.createDataFrame(members + members[:50], "sig long, node long"), spark.createDataFrame([(k, n, s) for k, _, n, s in nodes], "node long, n long, sketch binary")
+    found = [tuple(r) for r in j._across(*tables, spark.createDataFrame([x[:2] for x in nodes], "node long, root long"), 60, block, None).collect()]
+    assert len(truth) > 100 and set(found) == truth
+    assert earlier == 1 or len(found) == len(truth)
+    near = {tuple(r) for r in j._across(*tables, spark.createDataFrame([x[:2] for x in nodes], "node long, root long"), 60, block, 2).collect()}
+    assert near and near <= truth
