@@ -93,10 +93,23 @@ def test_texts_of_other_rows_stay_where_they_are(spark, many):
     assert {r.k1 for r in keys.collect()} <= got and len(got) < many + 20_000 / 8
 
 
-@pytest.mark.parametrize("block,earlier", [(1024, 64), (4, 64), (4, 1)])
-def test_a_pair_of_many_signatures_is_made_once(spark, monkeypatch, block, earlier):
+@pytest.fixture
+def apart(spark):
+    """Cells in tasks of their own."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("block,earlier,small", [(1024, 64, 0), (4, 64, 0), (4, 1, 0), (1024, 64, 16)])
+def test_a_pair_of_many_signatures_is_made_once(spark, apart, monkeypatch, block, earlier, small):
     """Of all pairs of different roots that share a signature none is lost, and each is made in one of them."""
     monkeypatch.setattr(j, "EARLIER", earlier)
+    monkeypatch.setattr(j, "SMALL", small)
     rng = random.Random(block)
     base = np.array([rng.getrandbits(64) for _ in range(200)], np.uint64)
     nodes = [node(rng, base, size, rng.randint(0, 30)) for size in rng.choices([64, 150, 200], k=40)]
@@ -113,6 +126,6 @@ def test_a_pair_of_many_signatures_is_made_once(spark, monkeypatch, block, earli
     tables = spark.createDataFrame(members + members[:50], "sig long, node long"), spark.createDataFrame([(k, n, s) for k, _, n, s in nodes], "node long, n long, sketch binary")
     found = [tuple(r) for r in j._across(*tables, spark.createDataFrame([x[:2] for x in nodes], "node long, root long"), 60, block, None).collect()]
     assert len(truth) > 100 and set(found) == truth
-    assert earlier == 1 or len(found) == len(truth)
+    assert earlier == 1 or len(found) == len(truth) or small and len(found) < len(truth) * 1.5
     near = {tuple(r) for r in j._across(*tables, spark.createDataFrame([x[:2] for x in nodes], "node long, root long"), 60, block, 2).collect()}
     assert near and near <= truth
