@@ -271,10 +271,15 @@ def instantiate(kmer: str, alphabet: str = GAPPED, partial: bool = False):
 
 
 def similarity(reference: DataFrame, other: DataFrame, measure: str = "cosine") -> DataFrame:
-    """id, value: similarity of each of other's count vectors with the reference's (k, class_id, n)."""
-    ref = reference.groupBy("k", "class_id").agg(F.sum("n").alias("r"))
+    """id, value: similarity of each of other's count vectors with the reference's (k, class_id, n).
+
+    Products are floating point: those of two norms leave the range of a long at a few
+    hundred MB of sequences. Up to 2^53 they are exact.
+    """
+    other = other.withColumn("n", F.col("n").cast("double"))
+    ref = reference.groupBy("k", "class_id").agg(F.sum("n").cast("double").alias("r"))
     norms = ref.agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.count("*").alias("rn"))
-    both = other.join(ref, ["k", "class_id"], "left").groupBy("id").agg(F.sum(F.col("n") * F.coalesce("r", F.lit(0))).alias("d"), F.sum(F.col("n") * F.col("n")).alias("nn")).crossJoin(F.broadcast(norms))  # one row
+    both = other.join(ref, ["k", "class_id"], "left").groupBy("id").agg(F.sum(F.col("n") * F.coalesce("r", F.lit(0.0))).alias("d"), F.sum(F.col("n") * F.col("n")).alias("nn")).crossJoin(F.broadcast(norms))  # one row
     value = {"cosine": F.col("d") / F.sqrt(F.col("nn") * F.col("rr")), "tanimoto": F.col("d") / (F.col("nn") + F.col("rr") - F.col("d")), "dot-product": F.col("d") / F.col("rn")}
     if measure not in value:
         raise ValueError(f"no measure {measure}")

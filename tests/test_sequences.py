@@ -55,3 +55,11 @@ def test_queries_run(spark):
 
     assert set(SQL) == set(QUERIES)
     assert QUERIES["overlap_counts"](spark, "/root/testdata/sf0.001").count() == 5
+
+
+def test_similarity_of_large_counts(spark):
+    """The product of two norms is beyond a long."""
+    counts = spark.createDataFrame([("a", 2, 0, 3_000_000_000), ("a", 2, 1, 4_000_000_000), ("b", 2, 0, 5)], "id string, k int, class_id long, n long")
+    reference = spark.createDataFrame([(2, 0, 3_000_000_000), (2, 1, 4_000_000_000)], "k int, class_id long, n long")
+    got = {r["id"]: r["value"] for r in kmers.similarity(reference, counts).collect()}
+    assert got["a"] == pytest.approx(1) and got["b"] == pytest.approx(0.6)
