@@ -41,20 +41,27 @@ def with_row_id(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     return df.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def numbered(scan: DataFrame) -> DataFrame:
-    """Rows of a file scan (and row-wise steps on it) with row_id, their position from 0.
-
-    Rows count up within a partition; what lies before a partition comes from the
-    partitions' sizes, a row each. Both reads of a scan have the same partitions; after
-    a shuffle that would not hold, so this is for scans only.
+def numbered(scan: DataFrame, lines: bool = False) -> DataFrame:
+    """Rows of a file scan (and row-wise steps on it) with row_id, their position from 0 over the files in the order of their paths.
+
+    A scan deals the pieces of its files to partitions by size, so the order of the
+    partitions says nothing: pieces are known by file and offset. Rows count up within
+    a piece; what lies before it comes from the pieces' sizes, a row each. Both reads of
+    a scan have the same pieces; after a shuffle that would not hold, so this is for
+    scans only. lines: also ``file``, ``file_no`` and ``n``, the number of the file and
+    the row's position in it, from 0.
     """
-    high = 1 << 33
-    marked = scan.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.expr(f"_at div {high}"))
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("_size"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_first"))
-    placed = marked.join(F.broadcast(starts), "_part")
-    return placed.withColumn("row_id", F.col("_first") + F.col("_at") % high).drop("_at", "_part", "_first")
+    piece = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start")]
+    marked = scan.select("*", *piece, F.monotonically_increasing_id().alias("_at"))
+    sizes = marked.groupBy("file", "_start").agg(F.count("*").alias("_size"), F.min("_at").alias("_low"))
+    earlier = Window.orderBy("file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = {"_first": F.sum("_size").over(earlier), "_above": F.sum("_size").over(own), "file_no": F.dense_rank().over(Window.orderBy("file")) - 1}
+    starts = sizes.select("file", "_start", "_low", *[F.coalesce(c, F.lit(0)).alias(n) for n, c in before.items()])
+    placed = marked.join(F.broadcast(starts), ["file", "_start"])
+    within = F.col("_at") - F.col("_low")
+    named = placed.withColumns({"row_id": F.col("_first") + within, "n": F.col("_above") + within})
+    return named.select(*scan.columns, "row_id", *(["file", "file_no", "n"] if lines else []))
 
 
 def running(df: DataFrame, at: str, order: list[Column], value: str, name: str, bits: int = 16, largest: bool = False, before: bool = False) -> DataFrame:

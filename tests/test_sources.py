@@ -71,3 +71,20 @@ def test_readers_refuse_bad_files(spark, tmp_path):
     with pytest.raises(ValueError):
         text.read_meta(spark, str(tmp_path / "t.table"), {"c": "string"})
     assert [tuple(r) for r in text.read_meta(spark, str(tmp_path / "t.table"), {"b": "[]int"}).collect()] == [(0, 2)]
+
+
+def test_rows_are_numbered_in_the_order_of_the_files(spark, tmp_path):
+    """A scan begins with the largest files; the numbers go by path and place."""
+    at = 0
+    for name, size in (("a", 3), ("b", 900), ("c", 40), ("d", 2000)):
+        (tmp_path / f"{name}.bed").write_text("".join(f"chr1\t{i}\t{i + 1}\n" for i in range(at, at + size)))
+        at += size
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key, value in zip(old, ("4096", "16"), strict=True):
+            spark.conf.set(key, value)
+        got = text.read_bed(spark, str(tmp_path), 3)
+        assert got.where("row_id <> `from`").count() == 0 and got.count() == at
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
