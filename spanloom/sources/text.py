@@ -1,8 +1,9 @@
 """Text formats as DataFrames: readers are lazy scans, writers are Spark text output.
 
 Spark decides about gzip by the extension. Where a format needs its lines in order
-(a header that holds for the lines below), the line number is Spark's own position
-within the file: files are read whole, one per row, and cut in the engine.
+(a header that holds for the lines below), lines are numbered by file and place, so
+that a large file is read by many tasks. Tables are written by many tasks, too: each
+of their files begins with the header.
 """
 
 from __future__ import annotations
@@ -28,9 +29,14 @@ def _f(i: int, kind: str = "string") -> Column:
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Numbered lines of whole files: for formats whose headers hold for the lines below."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    """file, file_no, n, line: lines numbered from 0 within their file, and row_id over all files."""
+    return numbered(spark.read.text(path), lines=True).withColumnRenamed("value", "line")
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """The column names in a table's first line; a scan begins with the first line of a file, and all files have the header."""
+    head = spark.read.text(path).first()
+    return head[0].split() if head else []
 
 
 def read_bed(spark: SparkSession, path: str, columns: int = 6) -> DataFrame:
@@ -49,6 +55,17 @@ def read_bed(spark: SparkSession, path: str, columns: int = 6) -> DataFrame:
     return ranges(out.drop("f"))
 
 
+def headed(line: Column, head: str, has_one: Column | None = None) -> Column:
+    """The lines with a header above each partition's first, which so begins each file that a writer makes of them.
+
+    has_one: where a line is a header itself.
+    """
+    first = F.monotonically_increasing_id() % (1 << 33) == 0  # counts in every row, so it comes first
+    if has_one is not None:
+        first = first & ~has_one
+    return F.when(first, F.concat(F.lit(head + "\n"), line)).otherwise(line)
+
+
 def _text(df: DataFrame, line: Column, path: str, compress: bool, one_file: bool = False, order: list | None = None) -> None:
     out = df.orderBy(*order) if order else df
     out = out.select(line.alias("value"))
@@ -161,17 +178,21 @@ def _cell(value: Column, kind: str) -> Column:
     return F.when(value.isin("NA", "NaN"), "NaN").otherwise(value).cast(kind) if kind == "double" else value.cast(kind)
 
 
+def _row() -> Column:
+    """Position of a table's row: over all files, without their headers."""
+    return (F.col("row_id") - F.col("file_no") - 1).alias("row_id")
+
+
 def read_table(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
     """A range table with a header line; metadata by declared types, or all as strings."""
     lines = _lines(spark, path).where(F.trim("line") != "")
-    head = lines.where("n = 0").select("line").first()
-    names = head[0].split() if head else []
+    names = _names(spark, path)
     at = {n: i for i, n in enumerate(names)}
     rename = {"seqnames": "seqname", "start": "from", "end": "to"}
     keys = {rename.get(n, n): i for n, i in at.items() if rename.get(n, n) in ("seqname", "from", "to", "strand")}
     rows = lines.where("n > 0").withColumn("f", F.split(F.trim("line"), r"\s+"))
     meta = {n: (types or {}).get(n, "string") for n in names if rename.get(n, n) not in keys and (types is None or n in types)}
-    cols = [(F.col("n") - 1).cast("long").alias("row_id"), *[_f(i, "string" if k in ("seqname", "strand") else "long").alias(k) for k, i in keys.items()], *[_cell(_f(at[n]), kind).alias(n) for n, kind in meta.items()]]
+    cols = [_row(), *[_f(i, "string" if k in ("seqname", "strand") else "long").alias(k) for k, i in keys.items()], *[_cell(_f(at[n]), kind).alias(n) for n, kind in meta.items()]]
     return ranges(rows.select(*cols)) if {"seqname", "from", "to"} <= set(keys) else rows.select(*cols)
 
 
@@ -180,6 +201,16 @@ def table_lines(df: DataFrame, header: bool = True, strand: bool = True, scienti
 
     scientific: floating point cells as d.ddddddE+dd.
     """
+    body, top = _table(df, strand, scientific)
+    return _with_head(body, top) if header else body
+
+
+def _with_head(body: DataFrame, top: str) -> DataFrame:
+    return body.unionByName(body.sparkSession.createDataFrame([(-1, top)], "row_id long, line string"))
+
+
+def _table(df: DataFrame, strand: bool, scientific: bool = False) -> tuple[DataFrame, str]:
+    """The lines and the header."""
     def shown(c: Column, kind: str) -> Column:
         return F.format_string("%e", c) if scientific and kind in ("double", "float") else c.cast("string")
 
@@ -198,16 +229,16 @@ def table_lines(df: DataFrame, header: bool = True, strand: bool = True, scienti
     widest = body.agg(*[F.coalesce(F.max(F.length(f"c{i}")), F.lit(0)) for i in range(len(cells))]).first()
     width = [max(len(n), w) for n, w in zip(cells, widest, strict=True)]
     line = F.concat_ws(" ", *[F.lpad(F.coalesce(F.col(f"c{i}"), F.lit("")), w, " ") for i, w in enumerate(width)])
-    out = body.select("row_id", line.alias("line"))
-    if header:
-        top = " ".join(n.rjust(w) for n, w in zip(cells, width, strict=True))
-        out = out.unionByName(df.sparkSession.createDataFrame([(-1, top)], "row_id long, line string"))
-    return out
+    return body.select("row_id", line.alias("line")), " ".join(n.rjust(w) for n, w in zip(cells, width, strict=True))
 
 
 def write_table(df: DataFrame, path: str, header: bool = True, strand: bool = True, compress: bool = False) -> None:
-    """The lines of ``table_lines`` in the rows' order."""
-    _text(table_lines(df, header, strand), F.col("line"), path, compress, one_file=True, order=["row_id"])
+    """The lines of ``table_lines`` in the rows' order, over as many files as tasks write them; each begins with the header."""
+    lines, top = _table(df, strand)
+    line = F.col("line")
+    if header:
+        lines, line = _with_head(lines, top), headed(line, top, F.col("row_id") == -1)
+    _text(lines, line, path, compress, order=["row_id"])
 
 
 def read_genome(spark: SparkSession, path: str) -> DataFrame:
@@ -309,14 +340,13 @@ def read_chromatin_states(spark: SparkSession, path: str | list[str], column: st
 def read_meta(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
     """A table without ranges: row_id and the named columns by their types; a column that is missing is an error."""
     lines = _lines(spark, path).where(F.trim("line") != "")
-    head = lines.where("n = 0").select("line").first()
-    names = head[0].split() if head else []
+    names = _names(spark, path)
     missing = [n for n in types if n not in names]
     if missing:
         raise ValueError(f"the table has no column {missing[0]}")
     rows = lines.where("n > 0").withColumn("f", F.split(F.trim("line"), r"\s+"))
     rows = rows.where(F.when(F.size("f") == len(names), True).otherwise(F.raise_error(F.lit("a row has not as many columns as the header")).cast("boolean")))
-    return rows.select((F.col("n") - 1).cast("long").alias("row_id"), *[_cell(_f(names.index(n)), kind).alias(n) for n, kind in types.items()])
+    return rows.select(_row(), *[_cell(_f(names.index(n)), kind).alias(n) for n, kind in types.items()])
 
 
 def write_segmentation(df: DataFrame, path: str, colours: dict[str, str], compress: bool = False) -> None:

@@ -88,3 +88,31 @@ def test_rows_are_numbered_in_the_order_of_the_files(spark, tmp_path):
     finally:
         for key, value in old.items():
             spark.conf.set(key, value)
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """Small pieces of files, and shuffles that are not put together."""
+    new = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in new}
+    for key, value in new.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in old.items():
+        spark.conf.set(key, value)
+
+
+def test_tables_are_written_and_read_by_many_tasks(spark, tmp_path, many_tasks):
+    rows = spark.range(3000).selectExpr("id as row_id", "'chr1' as seqname", "id as `from`", "id + 5 as `to`", "'+' as strand", "id % 7 as score")
+    text.write_table(rows, str(tmp_path / "x.table"))
+    files = [f.read_text().splitlines() for f in sorted((tmp_path / "x.table").glob("part-*"))]
+    assert len(files) > 1 and {f[0].split()[-1] for f in files} == {"score"} and sum(len(f) - 1 for f in files) == 3000
+    (tmp_path / "one.table").write_text("\n".join([files[0][0], *(line for f in files for line in f[1:])]) + "\n")
+    for path in ("x.table", "one.table"):
+        got = text.read_table(spark, str(tmp_path / path), {"score": "[]int"})
+        assert got.rdd.getNumPartitions() > 1
+        assert got.count() == 3000 and got.where("row_id <> `from` or score <> `from` % 7").count() == 0
+        meta = text.read_meta(spark, str(tmp_path / path), {"score": "[]int"})
+        assert meta.rdd.getNumPartitions() > 1 and meta.count() == 3000 and meta.where("score <> row_id % 7").count() == 0
+    text.write_table(rows.limit(0), str(tmp_path / "none.table"))
+    assert text.read_table(spark, str(tmp_path / "none.table"), {"score": "[]int"}).count() == 0
