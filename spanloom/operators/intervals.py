@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import meta_columns, running
-from .joins import anti, overlap_join
+from ..schema import meta_columns, running, running_all
+from .joins import anti
 
 
 def merge(*sets: DataFrame) -> DataFrame:
@@ -54,9 +54,26 @@ def runs_to_ranges(track: DataFrame, bin_size: int) -> DataFrame:
 
 
 def labels(regions: DataFrame, *sets: DataFrame) -> DataFrame:
-    """regions with ``labels``: the sorted numbers of the sets that overlap them."""
-    each = [overlap_join(regions, s).select(F.col("q_id").alias("row_id"), F.lit(i).alias("set")) for i, s in enumerate(sets)]
-    found = reduce(DataFrame.unionByName, each).groupBy("row_id").agg(F.array_sort(F.collect_set("set")).alias("labels"))
+    """regions with ``labels``: the sorted numbers of the sets that overlap them.
+
+    A region overlaps a set if, of the set's ranges that begin before its end, one
+    reaches beyond its start: a running maximum for each set, all in one pass, and no
+    pairs. Ranges with one start are combined to the one that reaches farthest before
+    they are shuffled.
+    """
+    reach = [f"_reach{i}" for i in range(len(sets))]
+    none = F.lit(None).cast("long")
+    starts = []
+    for i, s in enumerate(sets):
+        own = s.where(F.col("from") < F.col("to")).select("seqname", F.col("from").alias("_at"), *[(F.col("to").cast("long") if j == i else none).alias(r) for j, r in enumerate(reach)])
+        starts.append(own)
+    points = reduce(DataFrame.unionByName, starts).groupBy("seqname", "_at").agg(*[F.max(r).alias(r) for r in reach])
+    asked = regions.where(F.col("from") < F.col("to")).select("row_id", "seqname", (F.col("to") - 1).alias("_at"), F.col("from").alias("_from"))
+    both = points.unionByName(asked, allowMissingColumns=True)
+    # of one place the starts come first, as they count for a region that ends there
+    passed = running_all(both, "_at", [F.col("_at"), F.col("_from").asc_nulls_first()], reach, largest=True).where(F.col("_from").isNotNull())
+    hit = [F.coalesce(F.max(F.col(r) > F.col("_from")), F.lit(False)) for r in reach]
+    found = passed.groupBy("row_id").agg(F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hit)])).alias("labels"))
     return regions.join(found, "row_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<int>")))
 
 

@@ -84,6 +84,23 @@ def running(df: DataFrame, at: str, order: list[Column], value: str, name: str,
     return cell.join(offsets, ["seqname", "_cell"]).withColumn(name, both).drop("_cell", "_offset")
 
 
+def running_all(df: DataFrame, at: str, order: list[Column], values: list[str], bits: int = 16, largest: bool = False) -> DataFrame:
+    """df with its value columns replaced by their running sums (largest: maxima), as ``running`` makes one."""
+    combine = F.max if largest else F.sum
+    cell = df.withColumn("_cell", F.shiftright(F.col(at).cast("long"), bits))
+    totals = cell.groupBy("seqname", "_cell").agg(*[combine(v).alias(v) for v in values])
+    earlier = Window.partitionBy("seqname").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("seqname", "_cell", *[combine(v).over(earlier).alias(f"_o_{v}") for v in values])
+    within = Window.partitionBy("seqname", "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = {v: combine(v).over(within) for v in values}
+    if largest:
+        both = {v: F.greatest(f"_o_{v}", c) for v, c in own.items()}
+    else:
+        both = {v: F.coalesce(f"_o_{v}", F.lit(0)) + F.coalesce(c, F.lit(0)) for v, c in own.items()}
+    joined = cell.join(offsets, ["seqname", "_cell"])
+    return joined.withColumns(both).drop("_cell", *[f"_o_{v}" for v in values])
+
+
 def meta_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in CORE]
 

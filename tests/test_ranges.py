@@ -79,3 +79,20 @@ def test_reads(spark):
     got = sorted((r["from"], r["to"], r["strand"], r["mapq"], r["paired"]) for r in reads.join_mates(a).collect())
     assert got == [(7, 11, "-", 9, False), (10, 45, "*", 20, True)]
     assert spark.range(1).select(reads.cigar_length(F.lit("6M14N1I5M"))).first()[0] == 25
+
+
+def test_labels_and_overlap_totals_without_pairs(spark):
+    """Both equal a plain count over all pairs, and neither lays ranges into cells nor joins them."""
+    import random
+
+    rng = random.Random(3)
+    place = lambda: (rng.choice(["c", "d"]), rng.choice([0, 65_500, 131_000]) + rng.randrange(90))
+    draw = lambda n: [(s, f, f + rng.choice([0, 1, 5, 30, 70_000]), "*") for s, f in (place() for _ in range(n))]
+    sets = [draw(25), draw(12), draw(0), [("c", 3, 3, "*"), ("e", 0, 500_000, "+")]]
+    regions = draw(120) + [("f", 0, 9, "*")]
+    meet = lambda a, b: a[0] == b[0] and max(a[1], b[1]) < min(a[2], b[2])
+    q, *s = (ranges.make_ranges(spark, x) for x in (regions, *sets))
+    got = intervals.labels(q, *s)
+    want = {i: [n for n, x in enumerate(sets) if any(meet(r, y) for y in x)] for i, r in enumerate(regions)}
+    assert {r["row_id"]: r["labels"] for r in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
