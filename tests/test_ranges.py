@@ -91,8 +91,12 @@ def test_labels_and_overlap_totals_without_pairs(spark):
     sets = [draw(25), draw(12), draw(0), [("c", 3, 3, "*"), ("e", 0, 500_000, "+")]]
     regions = draw(120) + [("f", 0, 9, "*")]
     meet = lambda a, b: a[0] == b[0] and max(a[1], b[1]) < min(a[2], b[2])
-    q, *s = (ranges.make_ranges(spark, x) for x in (regions, *sets))
+    q, *s = (make_ranges(spark, x) for x in (regions, *sets))
     got = intervals.labels(q, *s)
     want = {i: [n for n, x in enumerate(sets) if any(meet(r, y) for y in x)] for i, r in enumerate(regions)}
     assert {r["row_id"]: r["labels"] for r in got.collect()} == want
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    every = sum(sets, [])
+    shared = [(a[0], min(a[2], b[2]) - max(a[1], b[1])) for a in regions for b in every if meet(a, b)]
+    totals = joins.overlap_totals(q, make_ranges(spark, every)).collect()
+    assert {r["seqname"]: (r["n"], r["bases"]) for r in totals} == {c: (sum(s == c for s, _ in shared), sum(x for s, x in shared if s == c)) for c in "cd"}
