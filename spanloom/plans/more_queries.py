@@ -354,6 +354,5 @@ def stream_coverage(spark, d):
     rows.repartition(4).write.parquet(uri(at + "/in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(uri(at + "/in"))
     counted = streams.stream_coverage(stream, t.genome(spark), 1000, "ts", "10 minutes", "10000 days")
-    done = counted.writeStream.outputMode("complete").format("memory").queryName("stream_coverage").trigger(availableNow=True)
-    done.option("checkpointLocation", uri(at + "/state")).start().awaitTermination()
-    return spark.table("stream_coverage").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "seqname", "bin", F.col("value").alias("n"))
+    last = streams.to_last(counted, uri(at + "/out"), uri(at + "/state"))
+    return last.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "seqname", "bin", F.col("value").alias("n"))

@@ -20,3 +20,16 @@ def stream_coverage(reads: DataFrame, genome: DataFrame, bin_size: int, time: st
 def to_parquet(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append finished windows to Parquet until the available input is read."""
     return counts.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
+
+
+def to_last(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All windows, finished or not, as they are when the available input is read; tasks write them, the driver holds none."""
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        written.append(number)
+
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = counts.sparkSession
+    return spark.read.schema(counts.schema).parquet(f"{path}/{max(written)}") if written else spark.createDataFrame([], counts.schema)

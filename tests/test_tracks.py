@@ -106,3 +106,16 @@ def test_text_formats(spark, tmp_path):
     g = tmp_path / "a.gtf"
     g.write_text('c\ts\texon\t1\t9\t.\t+\t.\tgene_id "g 1"; FPKM "2.5";\n')
     assert text.read_gtf(spark, str(g), {"gene_id": "string", "FPKM": "double"}).select("gene_id", "FPKM").first()[:] == ("g 1", 2.5)
+
+
+def test_last_counts_of_a_stream(spark, tmp_path):
+    """Windows still open are counted over all batches; the result is read from files, not from the driver's memory."""
+    from spanloom.streaming import coverage as streams
+
+    g = spark.createDataFrame([(0, "c", 100)], "idx int, seqname string, length long")
+    reads = spark.range(40).selectExpr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) as ts", "'c' as seqname", "id as `from`", "id + 1 as `to`")
+    reads.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counted = streams.stream_coverage(stream, g, 10, "ts", "20 minutes")
+    last = streams.to_last(counted, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert last.inputFiles() and sorted((r["bin"], r["value"]) for r in last.collect()) == [(i, 10) for i in range(4)]
