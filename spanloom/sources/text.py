@@ -146,9 +146,12 @@ def write_wig(track: DataFrame, path: str, bin_size: int, name: str = "track", c
 def read_gtf(spark: SparkSession, path: str, attributes: dict[str, str] | None = None, defaults: dict[str, object] | None = None, one_based: bool = False) -> DataFrame:
     """GTF: source, feature, score, frame and the asked attributes by type; coordinates verbatim unless one_based."""
     lines = numbered(spark.read.text(path).where(_data()))
-    # separators count outside double quotes only
+    # separators count outside double quotes only; where the last of nine columns alone has quotes, in pairs, all of them do
     fields = F.regexp_extract_all("value", F.lit(r'(?:^|\t)((?:"[^"]*"|[^\t"])*)'), F.lit(1))
-    rows = lines.select("row_id", fields.alias("f"))
+    cut = F.split("value", "\t")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    plain = (F.size(cut) == 9) & (F.instr(F.substring_index("value", "\t", 8), '"') == 0) & (quotes % 2 == 0) & ~F.col("value").startswith("\t")
+    rows = lines.select("row_id", F.when(plain, cut).otherwise(fields).alias("f"))
     rows = rows.where(F.when(F.size("f") >= 9, True).otherwise(F.raise_error(F.lit("a GTF line has 9 columns")).cast("boolean")))
     start = _f(3, "long") - (1 if one_based else 0)
     out = rows.select("row_id", _f(0).alias("seqname"), start.alias("from"), _f(4, "long").alias("to"), F.when(_f(6) == ".", "*").otherwise(_f(6)).alias("strand"), _f(1).alias("source"), _f(2).alias("feature"), F.when(_f(5) == ".", "0").otherwise(_f(5)).cast("double").alias("score"), F.when(_f(7) == ".", "-1").otherwise(_f(7)).cast("int").alias("frame"), _f(8).alias("_a"))

@@ -127,3 +127,14 @@ def test_alignments_are_written_by_many_tasks(spark, tmp_path, many_tasks):
         got = bam.read_bam(spark, path, split_bytes=split).collect()
         assert sorted((int(r["name"][1:]), r["pos"], r["sequence"], r["length"]) for r in got) == [(i, i % 900, "ACGTA", 9) for i in range(5000)]
     assert [r["name"] for r in bam.read_bam(spark, path).collect()] == [f"r{i}" for i in range(5000)]
+
+
+def test_gtf_columns_with_and_without_quotes(spark, tmp_path):
+    """Tabs within quotes cut nothing, wherever the quotes are."""
+    ends = ['id "a b"; v "1";', 'id "a\tb"; v "2";', 'id x; v 3', 'id "y;']
+    lines = [f"c\t{s}\texon\t{i}\t9\t.\t+\t.\t{e}" for i, (s, e) in enumerate((s, e) for s in ("s", '"s\tt"') for e in ends)]
+    (tmp_path / "x.gtf").write_text("\n".join(lines) + "\n")
+    got = text.read_gtf(spark, str(tmp_path / "x.gtf"), {"id": "string", "v": "long"}, {"id": "", "v": 0}).orderBy("row_id").collect()
+    assert [(r["from"], r["source"], r["id"], r["v"]) for r in got] == [
+        (i, ("s", '"s\tt"')[i // 4], ("a b", "a\tb", "x", "")[i % 4], (1, 2, 3, 0)[i % 4]) for i in range(8)
+    ]
